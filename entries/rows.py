@@ -71,7 +71,7 @@ def sample_n(spark, sf):
 
 
 def filter_any_regex(spark, sf):
-    return R.filter_any_regex(read(spark, sf, "conversations"), [(r"(?i)\bque\b", "text"), ("^assist", "role")])
+    return R.filter_any_regex(read(spark, sf, "conversations"), [(r"(?i)(^|[ .,])que($|[ .,])", "text"), ("^assist", "role")])
 
 
 def _attachments(spark, sf):
@@ -185,7 +185,7 @@ SQL = {
     "latest_n_before": "SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15' ORDER BY ts DESC, event_id LIMIT 10",
     "sample_n": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100",
     "filter_any_regex": r"""
-        SELECT * FROM conversations WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])que($|[^A-Za-z0-9_])') OR role LIKE 'assist%'""",
+        SELECT * FROM conversations WHERE regexp_matches(text, '(?i)(^|[ .,])que($|[ .,])') OR role LIKE 'assist%'""",
     "latest_match_all": f"""
         SELECT event_id, ts, file_name,
                stem || CAST(row_number() OVER (PARTITION BY stem ORDER BY event_id) - 1 AS VARCHAR) || '.xlsx' AS saved_as

@@ -131,11 +131,11 @@ def parse_text_lines(spark, sf):
 
 
 def parse_documents(spark, sf):
-    """Every document as a report: the last long capitalised opening word holds for the address lines below it."""
+    """Every document as a report: a long capitalised word that opens a line holds for the addresses below it."""
     d = read(spark, sf, "documents")
     lines = d.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
     blocks = lines.withColumn("block", F.call_function("div", F.col("line"), F.lit(50)))
-    rules = [LineRule(r"^([A-Z][a-z]{5,})\b[^@]*$", 1), LineRule(r"([A-Za-z0-9]+)@([a-z0-9]+)\.example\.", 2)]
+    rules = [LineRule(r"^([A-Z][a-z]{5,})[ ,.][^@]*$", 1), LineRule(r"([A-Za-z0-9]+)@([a-z0-9]+)\.example\.", 2)]
     header = [("opening", True), ("user", False), ("host", False)]
     return parse_lines(blocks, header, rules, "host", keep=["file"])
 
@@ -238,7 +238,7 @@ SQL = {
     "parse_text_documents": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t,
                           generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-             m AS (SELECT doc_id, i, t, regexp_matches(t, '^[A-Z][a-z]{5,}\b[^@]*$') AS opens,
+             m AS (SELECT doc_id, i, t, regexp_matches(t, '^[A-Z][a-z]{5,}[ ,.][^@]*$') AS opens,
                           regexp_matches(t, '[A-Za-z0-9]+@[a-z0-9]+\.example\.') AS address FROM l),
              h AS (SELECT *, last_value(CASE WHEN opens THEN regexp_extract(t, '^([A-Z][a-z]{5,})', 1) END IGNORE NULLS)
                              OVER (PARTITION BY doc_id ORDER BY i) AS opening FROM m)
