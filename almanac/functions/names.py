@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from .text import CHARACTER_RULES, RESERVED_PATTERN, ascii_text
+from .text import RESERVED_PATTERN, SINGLE_CHARACTERS, WIDENED_CHARACTERS, ascii_text
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,8 +43,7 @@ def clean_name(name: str, level: int = 1, lower: bool = False, length: int | Non
     if level == 2:
         text = re.sub(RESERVED_PATTERN, lambda m: "_" + m.group(1).upper(), text)
     if level >= 1:
-        for pattern, replacement in CHARACTER_RULES:
-            text = re.sub(pattern, replacement, text)
+        text = text.translate(str.maketrans({**SINGLE_CHARACTERS, **WIDENED_CHARACTERS}))
     elif level == 0:
         text = re.sub("'+", "''", text)
     if lower:

@@ -30,16 +30,11 @@ WRITETEXT
 """.split() + ["WITHIN GROUP"]
 
 # Character rules of level-1 and level-2 cleaning.
-CHARACTER_RULES = [
-    (r'[()":;]', ""),
-    (r"'", "''"),
-    (r"[- ]", "_"),
-    (r"&", "and"),
-]
+SINGLE_CHARACTERS = {"-": "_", " ": "_", "(": "", ")": "", '"': "", ";": "", ":": ""}
+WIDENED_CHARACTERS = {"'": "''", "&": "and"}
 
 RESERVED_PATTERN = r"(?i)\s(" + "|".join(RESERVED_WORDS) + r")\s"
 
-PUNCTUATION = string.punctuation
 UPPER = string.ascii_uppercase
 LOWER = string.ascii_lowercase
 
@@ -63,14 +58,24 @@ def _accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+def _plain(col: Column, then: dict[str, str] | None = None) -> Column:
+    """Accents off and everything outside ASCII removed, with ASCII characters mapped by
+    ``then`` on the way (to one character, or to nothing). One pass over the text."""
+    then = then or {}
+    source, target = _accent_table()
+    pairs = [(a, then.get(b, b)) for a, b in zip(source, target)] + list(then.items())
+    pairs.sort(key=lambda pair: pair[1] == "")  # characters without a partner are deleted
+    mapped = F.translate(col, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    return F.regexp_replace(mapped, r"[^\x00-\x7F]", "")
+
+
 def strip_accents(col: Column) -> Column:
     """Letters lose their accents, other characters outside ASCII are removed.
 
     Same result as decomposing and encoding to ASCII, but as one character map,
     so the value never leaves the JVM.
     """
-    source, target = _accent_table()
-    return F.regexp_replace(F.translate(col, source, target), r"[^\x00-\x7F]", "")
+    return _plain(col)
 
 
 def fold_case(col: Column) -> Column:
@@ -96,12 +101,15 @@ def clean_text(col: Column, level: int = 0, lower: bool = False, length: int | N
     """
     if level not in (-1, 0, 1, 2):
         raise ValueError(f"level must be -1, 0, 1 or 2, not {level!r}")
-    text = strip_accents(col)
+    if level == 1:
+        text = _plain(col, SINGLE_CHARACTERS)
+    else:
+        text = strip_accents(col)
     if level == 2:
-        text = _mark_reserved(text)
+        text = F.translate(_mark_reserved(text), "".join(SINGLE_CHARACTERS), "".join(SINGLE_CHARACTERS.values()))
     if level >= 1:
-        for pattern, replacement in CHARACTER_RULES:
-            text = F.regexp_replace(text, pattern, replacement)
+        for char, replacement in WIDENED_CHARACTERS.items():
+            text = F.replace(text, F.lit(char), F.lit(replacement))
     elif level == 0:
         text = F.regexp_replace(text, "'+", "''")
     if lower:
@@ -114,8 +122,8 @@ def word_set(col: Column) -> Column:
 
     NULL gives the empty set.
     """
-    plain = F.translate(F.lower(F.coalesce(col, F.lit(""))), PUNCTUATION, "")
-    return F.array_sort(F.array_distinct(F.array_remove(F.split(plain, r"\s+"), "")))
+    plain = F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"\p{Punct}+", "")
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(plain, r"\s+"), "")))
 
 
 def number_text(col: Column) -> Column:
