@@ -27,20 +27,18 @@ def read_csv(
     ``multiline`` allows line breaks inside quotes, at the price that a file is not
     split; turn it off for large files without such cells.
     """
-    raw = spark.read.csv(
-        path,
-        header=header is True,
-        sep=delimiter,
-        quote=quote_char,
-        escape=quote_char,
-        inferSchema=False,
-        enforceSchema=False,
-        multiLine=multiline,
-    )
+    options = dict(sep=delimiter, quote=quote_char, escape=quote_char, inferSchema=False, multiLine=multiline)
+    plain = spark.read.csv(path, header=False, **options)
+    names = header or []
     if header is True:
-        named = raw.toDF(*unique_names(raw.columns))
-    else:
-        named = rename_header(raw.toDF(*[default_name(i) for i in range(len(raw.columns))]), header or [])
+        first = plain.first()
+        names = [cell or "" for cell in first] if first else []
+        folded = [n.lower() for n in names]
+        # Spark checks every file against the names, which it can only do where they differ
+        differ = len(set(folded)) == len(folded) and "" not in folded
+        plain = spark.read.csv(path, header=True, enforceSchema=not differ, **options)
+    default = plain.toDF(*[default_name(i) for i in range(len(plain.columns))])
+    named = default.toDF(*unique_names(rename_header(default, names).columns))
     return apply_types(named) if infer else named
 
 
@@ -52,5 +50,10 @@ def write_csv(
     header: bool = True,
     mode: str = "error",
 ) -> None:
-    """Write delimited files into the folder ``path``; only cells that need it are quoted."""
-    df.write.csv(path, mode=mode, header=header, sep=delimiter, quote=quote_char, escape=quote_char)
+    """Write delimited files into the folder ``path``; only cells that need it are quoted.
+
+    Empty text is written like NULL, as nothing between two delimiters.
+    """
+    df.write.csv(
+        path, mode=mode, header=header, sep=delimiter, quote=quote_char, escape=quote_char, emptyValue=""
+    )

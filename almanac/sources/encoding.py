@@ -39,7 +39,7 @@ def to_ascii(content: Column) -> Column:
 
 
 def read_text_any_encoding(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path``, ``text``: one row per file, its whole content as ASCII."""
+    """``path``, ``text``: one row per file that is not empty, its whole content as ASCII."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
