@@ -82,7 +82,9 @@ def absent_rows(df: DataFrame, new: DataFrame, keys: Sequence[str], order_by: Ke
         .agg(F.min_by(columns, order).alias("row"))
         .select("row.*")
     )
-    fresh = first.join(df.select(*keys).distinct(), list(keys), "left_anti").select(*names)
+    # only old keys that also occur in ``new`` matter: a small ``new`` never shuffles the old table
+    held = df.select(*keys).join(new.select(*keys), list(keys), "left_semi").distinct()
+    fresh = first.join(held, list(keys), "left_anti").select(*names)
     return fresh.union(new.where(_any_null(keys)).select(*names))
 
 

@@ -74,9 +74,9 @@ def rename_column(spark, sf):
 
 
 def rename_table(spark, sf):
-    name = fresh_table(spark, "region")
-    dml.write_table(read(spark, sf, "region"), name)
-    other = fresh_table(spark, "region")
+    name = fresh_table(spark, "supplier")
+    dml.write_table(read(spark, sf, "supplier"), name)
+    other = fresh_table(spark, "supplier")
     dml.rename_table(spark, name, other)
     assert not dml.table_exists(spark, name)
     return spark.table(other)
@@ -86,13 +86,13 @@ def drop_tables(spark, sf):
     """Temporary tables go, protected ones stay; which are left."""
     database = fresh_table(spark, "drops").replace(".", "_")
     spark.sql(f"CREATE DATABASE {database} LOCATION '{scratch_path(spark, 'database')}'")
-    nation = read(spark, sf, "nation")
+    customer = read(spark, sf, "customer")
     for label in ("orders", "orders_temp", "settings", "part_temp_"):
-        dml.write_table(nation, f"{database}.{label}")
+        dml.write_table(customer, f"{database}.{label}")
     temp = dml.drop_temp_tables(spark, database)
     rest = dml.drop_tables(spark, database, protected=["SETTINGS"])
     kept = spark.table(f"{database}.settings").agg(F.lit("settings").alias("table"), F.count(F.lit(1)).alias("n_rows"))
-    gone = nation.where(F.lit(False)).agg(F.lit(",".join(temp + rest)).alias("table"), F.count(F.lit(1)).alias("n_rows"))
+    gone = customer.where(F.lit(False)).agg(F.lit(",".join(temp + rest)).alias("table"), F.count(F.lit(1)).alias("n_rows"))
     return kept.union(gone)
 
 
@@ -183,9 +183,9 @@ SQL = {
         UNION ALL SELECT *, 'B' FROM supplier WHERE s_nationkey = 1""",
     "drop_table_column": "SELECT p_partkey, p_name, p_type, p_size, p_retailprice FROM part",
     "rename_table_column": "SELECT p_partkey, p_name, p_brand AS brand, p_type, p_size, p_retailprice FROM part",
-    "rename_table": "SELECT * FROM region",
+    "rename_table": "SELECT * FROM supplier",
     "drop_tables": """
-        SELECT 'settings' AS "table", count(*) AS n_rows FROM nation
+        SELECT 'settings' AS "table", count(*) AS n_rows FROM customer
         UNION ALL SELECT 'orders_temp,part_temp_,orders', 0""",
     "snapshot_append": """
         SELECT TIMESTAMP '2024-03-01 06:00:00' AS run_datetime, 'north' AS sub_task, o_orderkey, o_totalprice

@@ -38,8 +38,8 @@ def rename_header(spark, sf):
 
 
 def unique_header(spark, sf):
-    n = read(spark, sf, "nation")
-    same = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("Name"), F.col("n_regionkey").alias("name"))
+    c = read(spark, sf, "customer")
+    same = c.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("Name"), F.col("c_nationkey").alias("name"))
     return C.unique_header(same)
 
 
@@ -100,7 +100,7 @@ SQL = {
                l_returnflag, l_linestatus
         FROM lineitem""",
     "rename_header": 'SELECT s_suppkey AS "key", s_name, s_nationkey AS nation, s_acctbal FROM supplier',
-    "unique_header": 'SELECT n_name AS name, n_nationkey AS "Nameb", n_regionkey AS namec FROM nation',
+    "unique_header": 'SELECT c_name AS name, c_custkey AS "Nameb", c_nationkey AS namec FROM customer',
     "clean_header": """
         SELECT c_custkey AS "key_no.", c_name AS name_and_title, c_acctbal AS acct_bal_usd,
                c_mktsegment AS the_orderby

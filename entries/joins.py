@@ -99,9 +99,9 @@ def join_mixed_types(spark, sf):
 
 
 def join_same_names(spark, sf):
-    n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
-    r = read(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    return join(n, r, "inner", [("n_regionkey", "id")], drop_redundant=False)
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_nationkey")
+    n = read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return join(c, n, "inner", [("c_nationkey", "id")], drop_redundant=False)
 
 
 def merge_tables(spark, sf):
@@ -218,8 +218,8 @@ SQL = {
                o_totalprice, c_name, c_mktsegment
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND o_orderkey % 9 <> 0""",
     "join_same_names": """
-        SELECT n_nationkey AS id, n_name AS name, n_regionkey, r_regionkey AS idb, r_name AS nameb
-        FROM nation JOIN region ON n_regionkey = r_regionkey""",
+        SELECT c_custkey AS id, c_name AS name, c_nationkey, n_nationkey AS idb, n_name AS nameb
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "merge_plan": """
         SELECT o_orderkey, o_custkey, o_totalprice, c_nationkey, n_name, n_regionkey, r_name
         FROM orders JOIN customer ON o_custkey = c_custkey

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.operators import dml
+from almanac.operators.columns import dimensions
 from almanac.plans.report import ReportTable, read_provenance, sheet_summary, write_report
 from almanac.session import scratch_path
 from almanac.sources.catalog import describe, find_column, list_columns, list_tables
 from almanac.sources.csv import read_csv, write_csv
 from almanac.sources.encoding import to_ascii
-from almanac.sources.folders import list_files
+from almanac.sources.folders import list_files, read_lines
 from almanac.sources.tables import from_select
 from almanac.sources.textreport import LineRule, parse_lines, read_report
 from almanac.operators.sql import from_sql
@@ -141,14 +142,17 @@ def parse_documents(spark, sf):
 
 
 def dated_folders(spark, sf):
-    """Files of three dated folders by name; only text files count."""
+    """Orders as text in dated folders, one per status; how many files and lines the latest one has."""
     folder = scratch_path(spark, "folders")
-    n = read(spark, sf, "nation")
-    n.select("n_name").coalesce(1).write.text(f"{folder}/2024.01.15")
-    n.select("n_name").coalesce(1).write.text(f"{folder}/2023.12.31")
-    n.coalesce(1).write.json(f"{folder}/2024.01.02")
-    files = list_files(spark, folder)
-    return files.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))
+    o = read(spark, sf, "orders")
+    for day, status in (("2024.01.15", "F"), ("2023.12.31", "O"), ("2024.01.02", "P")):
+        o.where(F.col("o_orderstatus") == status).select("o_orderpriority").coalesce(1).write.text(f"{folder}/{day}")
+    o.select("o_orderkey").write.json(f"{folder}/notes")
+    lines = read_lines(spark, folder, "latest")
+    named = list_files(spark, folder).agg(F.count(F.lit(1))).scalar()
+    return lines.groupBy(F.col("text").alias("line")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("file").alias("n_files"), F.any_value(named).alias("n_text_files")
+    )
 
 
 def report_sheets(spark, sf):
@@ -187,11 +191,13 @@ def catalog_info(spark, sf):
     found = list_columns(spark, short, DATABASE)
     known = list_tables(spark, DATABASE).where(F.col("table") == short)
     joined = found.join(known, "table").select("position", "column", "type")
-    return joined.union(find_column(found, "O_ORDERKEY").select(F.lit(-1).cast("bigint"), "column", "type"))
+    both = joined.union(find_column(found, "O_ORDERKEY").select(F.lit(-1).cast("bigint"), "column", "type"))
+    return both.withColumn("n_rows", dimensions(spark.table(name)).select("n_rows").scalar())
 
 
 def describe_table(spark, sf):
-    return describe(read(spark, sf, "lineitem"))
+    li = read(spark, sf, "lineitem")
+    return describe(li).withColumn("n_rows", dimensions(li).select("n_rows").scalar())
 
 
 def text_any_encoding(spark, sf):
@@ -248,7 +254,8 @@ SQL = {
                      regexp_extract(t, '([A-Za-z0-9]+)@([a-z0-9]+)\.example\.', 2) AS host
               FROM h WHERE address AND NOT opens)""",
     "dated_folders": """
-        SELECT * FROM (VALUES ('2023.12.31', CAST(1 AS BIGINT)), ('2024.01.15', CAST(1 AS BIGINT))) v(folder, n_files)""",
+        SELECT o_orderpriority AS line, count(*) AS n_lines, CAST(1 AS BIGINT) AS n_files, CAST(3 AS BIGINT) AS n_text_files
+        FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""",
     "write_report": """
         SELECT 'Data' AS "table", CAST(5 AS BIGINT) AS n_columns, count(*) AS n_rows, 'SELECT * FROM customer' AS note FROM customer
         UNION ALL SELECT 'datab', 6, count(*), 'SELECT * FROM orders' FROM orders
@@ -257,11 +264,11 @@ SQL = {
         SELECT event_id, '[' || CAST(user_id AS VARCHAR) || ',' || CAST(event_id AS VARCHAR) || ']' AS ids, event_type FROM events""",
     "db_replace": "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 0",
     "catalog_info": """
-        SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'),
+        SELECT *, (SELECT count(*) FROM orders) AS n_rows FROM (VALUES (CAST(0 AS BIGINT), 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'),
             (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string'),
             (-1, 'o_orderkey', 'bigint')) v(position, "column", type)""",
     "describe_table": """
-        SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'l_orderkey', 'bigint'), (1, 'l_partkey', 'bigint'), (2, 'l_suppkey', 'bigint'),
+        SELECT *, (SELECT count(*) FROM lineitem) AS n_rows FROM (VALUES (CAST(0 AS BIGINT), 'l_orderkey', 'bigint'), (1, 'l_partkey', 'bigint'), (2, 'l_suppkey', 'bigint'),
             (3, 'l_linenumber', 'int'), (4, 'l_quantity', 'double'), (5, 'l_extendedprice', 'double'),
             (6, 'l_discount', 'double'), (7, 'l_tax', 'double'), (8, 'l_returnflag', 'string'),
             (9, 'l_linestatus', 'string'), (10, 'l_shipdate', 'timestamp_ntz')) v(position, "column", type)""",
