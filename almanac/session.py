@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_local_folders: dict[str, str] = {}
+
 
 def get_spark(app_name: str = "almanac", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -31,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
     Only where the session names none (tests, a laptop) a new local folder is
-    made once and remembered in the session. A session that has executors of its
+    made once per application. A session that has executors of its
     own must name a folder: a machine-local one would lose data with the machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="almanac-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="almanac-")
+    return _local_folders[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,9 +95,19 @@ def parse_lines(
     )
 
     holding = [i for i, r in enumerate(rules) if any(hold[first[i] : first[i] + r.width])]
+    trigger_rule = max(i for i in range(len(rules)) if first[i] <= at)
+
+    def value(i: int, position: int) -> Column:
+        return F.col(f"{'s' if hold[position] else 'r'}{i}.v{position}").alias(names[position])
+
+    if not hold[at]:
+        # a line that sets no held column and not the trigger changes nothing: drop it before rows move
+        useful = [F.col(f"r{i}").isNotNull() for i in holding]
+        found = found.where(reduce(Column.__or__, useful, _is_set(value(trigger_rule, at))))
     state = found
     if holding:
         in_block = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+        # every block has a row here, also one that sets nothing itself
         ends = found.groupBy("file", "block").agg(
             *[F.max_by(f"r{i}", F.when(F.col(f"r{i}").isNotNull(), F.col("line"))).alias(f"e{i}") for i in holding]
         )
@@ -109,11 +120,7 @@ def parse_lines(
             *found.columns, *[F.coalesce(f"h{i}", f"c{i}").alias(f"s{i}") for i in holding]
         )
 
-    def value(i: int, position: int) -> Column:
-        return F.col(f"{'s' if hold[position] else 'r'}{i}.v{position}").alias(names[position])
-
     columns = [value(i, first[i] + j) for i, r in enumerate(rules) for j in range(r.width)]
-    trigger_rule = max(i for i in range(len(rules)) if first[i] <= at)
     return state.where(_is_set(value(trigger_rule, at))).select(
         *[F.col(a).alias(k) for k, a in zip(keep, kept)], *columns
     )
@@ -133,6 +140,11 @@ def read_report(
     return parse_lines(read_lines(spark, path, mode, file_rule), header, rules, trigger, keep=keep)
 
 
+# Totals of a price report and their level.
+TOTAL_LEVELS = {"department": 1, "category": 2, "zone": 3}
+_TOTALS_LAST_FIRST = [(level, word) for word, level in reversed(TOTAL_LEVELS.items())]
+
+
 def total_level(groups: list[Column]) -> Column:
     """Extra column: 1, 2, 3 for a department, category or zone total found in any group."""
     return F.coalesce(*[F.when(_any(groups, rf"(?i){w}\s+total"), F.lit(n)) for n, w in _TOTALS_LAST_FIRST]).cast("string")
@@ -148,11 +160,6 @@ def total_name(groups: list[Column]) -> Column:
     return F.coalesce(*names)
 
 
-# Totals of a price report and their level.
-TOTAL_LEVELS = {"department": 1, "category": 2, "zone": 3}
-_TOTALS_LAST_FIRST = [(level, word) for word, level in reversed(TOTAL_LEVELS.items())]
-
-
 def _any(groups: list[Column], pattern: str) -> Column:
     test = F.lit(False)
     for g in groups:

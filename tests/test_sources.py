@@ -1,6 +1,7 @@
 import datetime
 import json
 import re
+from types import SimpleNamespace
 
 import pytest
 from helpers import rows, values
@@ -20,6 +21,17 @@ def test_shared_folder_comes_from_the_session(spark):
     assert df.count() == 5 and df.inputFiles()[0].replace("file:", "").startswith("/")
 
 
+def test_shared_folder_where_the_session_names_none():
+    def session(master):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    local = session("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+    with pytest.raises(ValueError):
+        shared_dir(session("yarn"))
+
+
 def test_csv_cells(spark, tmp_path):
     data = [(1, 'say "hi", you', "x"), (2, "two\nlines", ""), (3, None, "a;b"), (4, "back\\slash", "'q'")]
     df = spark.createDataFrame(data, "id int, body string, tail string")
@@ -152,7 +164,8 @@ def test_parser_equals_line_loop(spark, trigger):
 
 
 def test_one_large_file_is_read_in_blocks(spark, tmp_path):
-    lines = [f"STORE {i} s{i}" if i % 100 == 0 else f" {i} {i} n" for i in range(20000)]
+    # long stretches without a store line: whole blocks that only carry
+    lines = [f"STORE {i} s{i}" if i % 7000 == 0 else f" {i} {i % 3} n" for i in range(20000)]
     (tmp_path / "big.txt").write_text("\n".join(lines))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
