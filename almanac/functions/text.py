@@ -126,12 +126,18 @@ def word_set(col: Column) -> Column:
     return F.sort_array(F.array_distinct(F.array_remove(F.split(plain, r"\s+"), "")))
 
 
-def number_text(col: Column) -> Column:
-    """Text with thousands commas removed: whole numbers without leading zeros or plus sign,
-    other text trimmed, nothing left -> NULL."""
+def bare_number(col: Column) -> Column:
+    """Text trimmed and without commas; whole numbers also without plus sign and leading zeros.
+
+    Names its input once, so that nothing is computed twice where Spark cannot share it.
+    """
     plain = F.trim(F.replace(col, F.lit(","), F.lit("")))
-    whole = F.when(plain.rlike(r"^[+-]?\d{1,18}$"), plain).try_cast("bigint").cast("string")
-    return F.coalesce(whole, F.nullif(plain, F.lit("")))
+    return F.regexp_replace(plain, r"^\+?(-?)0*(?=\d+$)", "$1")
+
+
+def number_text(col: Column) -> Column:
+    """:func:`bare_number`, with NULL where nothing is left."""
+    return F.nullif(bare_number(col), F.lit(""))
 
 
 def number_value(col: Column) -> Column:

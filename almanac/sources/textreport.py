@@ -15,12 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import number_text, number_value
+from ..functions.text import bare_number
 from .folders import TEXT_FILES, read_lines
 
 
@@ -38,12 +37,16 @@ class LineRule:
 
     def values(self, text: Column) -> list[Column]:
         raw = [F.regexp_extract(text, self.pattern, g) for g in range(1, self.groups + 1)]
-        return [number_text(c) for c in [*raw, *[f(raw) for f in self.extra]]]
+        return [bare_number(c) for c in [*raw, *[f(raw) for f in self.extra]]]
+
+
+# Empty, or a number that is zero.
+UNSET = r"^([+-]?(0+\.?0*|\.0+)([eE][+-]?\d+)?)?$"
 
 
 def _is_set(col: Column) -> Column:
-    """Not empty and not the number zero."""
-    return col.isNotNull() & (F.coalesce(number_value(col), F.lit(1.0)) != 0)
+    """Not empty and not the number zero; NULL for NULL."""
+    return ~col.rlike(UNSET)
 
 
 def parse_lines(
@@ -77,9 +80,14 @@ def parse_lines(
         F.col(text).alias("text"),
         *[F.col(k).alias(a) for k, a in zip(keep, kept)],
     )
-    which = F.coalesce(*[F.when(F.col("text").rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules)])
-    matched = source.withColumn("rule", which).where(F.col("rule").isNotNull())
     first = [sum(r.width for r in rules[:i]) for i in range(len(rules))]
+    holding = [i for i, r in enumerate(rules) if any(hold[first[i] : first[i] + r.width])]
+    trigger_rule = max(i for i in range(len(rules)) if first[i] <= at)
+    # with a trigger that is not held, lines of other rules change nothing: drop them before rows move
+    useful = range(len(rules)) if hold[at] else sorted({*holding, trigger_rule})
+
+    which = F.coalesce(*[F.when(F.col("text").rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules)])
+    matched = source.withColumn("rule", which).where(F.col("rule").isin(*useful))
     found = matched.select(
         "file",
         "block",
@@ -91,19 +99,13 @@ def parse_lines(
                 F.struct(*[v.alias(f"v{first[i] + j}") for j, v in enumerate(r.values(F.col("text")))]),
             ).alias(f"r{i}")
             for i, r in enumerate(rules)
+            if r.width
         ],
     )
 
-    holding = [i for i, r in enumerate(rules) if any(hold[first[i] : first[i] + r.width])]
-    trigger_rule = max(i for i in range(len(rules)) if first[i] <= at)
-
     def value(i: int, position: int) -> Column:
-        return F.col(f"{'s' if hold[position] else 'r'}{i}.v{position}").alias(names[position])
+        return F.col(f"{'s' if hold[position] else 'r'}{i}.v{position}")
 
-    if not hold[at]:
-        # a line that sets no held column and not the trigger changes nothing: drop it before rows move
-        useful = [F.col(f"r{i}").isNotNull() for i in holding]
-        found = found.where(reduce(Column.__or__, useful, _is_set(value(trigger_rule, at))))
     state = found
     if holding:
         in_block = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -120,7 +122,11 @@ def parse_lines(
             *found.columns, *[F.coalesce(f"h{i}", f"c{i}").alias(f"s{i}") for i in holding]
         )
 
-    columns = [value(i, first[i] + j) for i, r in enumerate(rules) for j in range(r.width)]
+    columns = [
+        F.nullif(value(i, first[i] + j), F.lit("")).alias(names[first[i] + j])
+        for i, r in enumerate(rules)
+        for j in range(r.width)
+    ]
     return state.where(_is_set(value(trigger_rule, at))).select(
         *[F.col(a).alias(k) for k, a in zip(keep, kept)], *columns
     )

@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from helpers import rows, values
+from helpers import values
 from pyspark.sql import functions as F
 
 from almanac.operators import schedule as S

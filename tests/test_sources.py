@@ -4,7 +4,7 @@ import re
 from types import SimpleNamespace
 
 import pytest
-from helpers import rows, values
+from helpers import rows
 from pyspark.sql import functions as F
 
 from almanac.session import materialize, scratch_path, shared_dir
@@ -163,6 +163,15 @@ def test_parser_equals_line_loop(spark, trigger):
     assert rows(got) == sorted(want, key=repr)
 
 
+def test_rule_without_groups_only_ends_the_line(spark):
+    header, rules = [("head", True), ("n", False)], [LineRule("^#", 0), LineRule(r"^H (\w+)", 1), LineRule(r"(\d+)", 1)]
+    text = ["H one", "5", "# 6", "7", "0", "H", "8"]
+    df = spark.createDataFrame([("f", 0, i, t) for i, t in enumerate(text)], "file string, block int, line int, text string")
+    for trigger in ("n", "head"):
+        at = [h for h, _ in header].index(trigger)
+        assert rows(parse_lines(df, header, rules, trigger)) == sorted(loop(text, header, rules, at), key=repr)
+
+
 def test_one_large_file_is_read_in_blocks(spark, tmp_path):
     # long stretches without a store line: whole blocks that only carry
     lines = [f"STORE {i} s{i}" if i % 7000 == 0 else f" {i} {i % 3} n" for i in range(20000)]
