@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import language, mixing, packing, quality, token_counts, topk, toxicity
+from almanac.llm import jaccard, language, licenses, lines, mixing, packing, quality, token_counts, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -29,6 +29,10 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, folder), VOCABULARY)
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join_similar(_documents(spark, folder))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")))
@@ -47,27 +51,40 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder), VOCABULARY, RANKS, public_tokenizers.PATTERN)
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_documents(spark, folder))
+
+
 def op9_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its remaining text and the number of its lines and of those taken out."""
+    done = lines.dedup_lines(_documents(spark, folder))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_packing": op7_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_exact_topk": op9_exact_topk,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 SQL: dict[str, str] = {}
 
 SQL["op9_exact_topk"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
     FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
     SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
     FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
