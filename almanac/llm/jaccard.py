@@ -268,29 +268,46 @@ def _links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     return links
 
 
-def join_similar(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
-
-    A set is the distinct 5-word shingles of a whole text. Rows link when 100 * shared >= 80 * all; ``component_id`` is the smallest id
-    that links lead to, the row's own included. Texts that are null, empty or blank have an empty set and link with nothing. Equal sets
-    link, and are one set throughout: copies are never paired. Repeated rows get a row each. Null ids are kept and are larger than all
-    others; a component of null ids only has a null id. An empty table gives no rows; other columns are not looked at.
-    """
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, mark, n, fp`` of ``docs``, and for each set with words ``n, fp, s``, the first row of its component."""
     sketched = materialize(_sketched(docs), "sketches")
     rows = sketched.where(F.col("band") >= -1).select("doc_id", "mark", "n", "fp")
     sketched = sketched.withColumn("band", F.when(F.col("band") < -1, F.col("band") + SECOND).otherwise(F.col("band")))
     buckets = materialize(_buckets(sketched), "buckets")
     few = buckets.select("fp", "n").distinct()
     spot = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")).alias("s")
-    classes = materialize(rows.groupBy("fp", "n").agg(spot), "classes")
+    classes = materialize(rows.where("n > 0").groupBy("fp", "n").agg(spot), "classes")
     wanted = classes.join(few, ["fp", "n"]).select("s.doc_id", "s.mark", "fp", "n")
     sets = _sets(docs, wanted).groupBy("fp", "n").agg(F.first("hashes").alias("hashes"))
     links = _links(buckets, materialize(sets, "sets"))
     found = components(links).select("node.n", "node.fp", "component")
-    first = classes.select("n", "fp", F.col("s.doc_id").alias("id"))
-    named = first.join(found, ["n", "fp"], "left").withColumn("component", F.coalesce("component", F.struct("n", "fp")))
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "component").select("n", "fp", "component_id")
+    named = classes.join(found, ["n", "fp"], "left").withColumn("component", F.coalesce("component", F.struct("n", "fp")))
+    least = named.groupBy("component").agg(F.min("s").alias("s"))
+    return rows, named.select("n", "fp", "component").join(least, "component").select("n", "fp", "s")
+
+
+def join_similar(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``.
+
+    A set is the distinct 5-word shingles of a whole text. Rows link when 100 * shared >= 80 * all; ``component_id`` is the smallest id
+    that links lead to, the row's own included. Texts that are null, empty or blank have an empty set and link with nothing. Equal sets
+    link, and are one set throughout: copies are never paired. Repeated rows get a row each. Null ids are kept and are larger than all
+    others; a component of null ids only has a null id. An empty table gives no rows; other columns are not looked at.
+    """
+    rows, named = _components(docs)
     lone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    joined = rows.where("n > 0").join(named, ["n", "fp"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return joined.unionByName(lone)
+    joined = rows.where("n > 0").join(named, ["n", "fp"])
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("s.doc_id").alias("component_id")).unionByName(lone)
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` with one row of each component, the one with the smallest id.
+
+    Texts without words are groups of their own. Rows that are equal in id and text count as one.
+    """
+    rows, named = _components(docs)
+    keep = named.select("s.doc_id", "s.mark").distinct().unionByName(rows.where("n = 0").select("doc_id", "mark").distinct())
+    keep = keep.select(F.xxhash64("doc_id", "mark").alias("k1"), F.xxhash64("mark", "doc_id").alias("k2"))
+    mark = F.xxhash64("text")
+    whole = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", mark).alias("k1"), F.xxhash64(mark, "doc_id").alias("k2"))
+    return whole.join(keep, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")

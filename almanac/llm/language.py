@@ -19,6 +19,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
 BATCH_WINDOWS = 24
+#: Texts whose best language scores less are in none of the learned ones, or in several at once.
+ACCEPT = 0.4
 
 
 class Network(NamedTuple):
@@ -139,45 +141,49 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> Ne
     return train(np.concatenate([windows_of(t)[:1] for _, t in sample]), [lang for lang, _ in sample])
 
 
+def classify(net: Network | None, texts: list[str]) -> tuple[list[str], list[float]]:
+    """Language and score of whole texts: probabilities of their windows, weighted by the bytes in them, averaged."""
+    best, score = ["und"] * len(texts), [0.0] * len(texts)
+    usable = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
+    sums = np.zeros((len(texts), len(net.langs) if net else 1))
+    held: list[tuple[int, np.ndarray]] = []
+
+    def flush() -> None:
+        owner = np.repeat([i for i, _ in held], [len(w) for _, w in held])
+        rows = np.concatenate([w for _, w in held])
+        for at in range(0, len(rows), BATCH_WINDOWS):
+            part = rows[at : at + BATCH_WINDOWS]
+            filled = np.count_nonzero(part, axis=1)[:, None]
+            np.add.at(sums, owner[at : at + BATCH_WINDOWS], probabilities(net, part) * filled)
+        held.clear()
+
+    waiting = 0
+    for i in usable:
+        held.append((i, windows_of(texts[i])))
+        waiting += len(held[-1][1])
+        if waiting >= 16 * BATCH_WINDOWS:
+            flush()
+            waiting = 0
+    if held:
+        flush()
+    for i in usable:
+        k = int(sums[i].argmax())
+        best[i], score[i] = net.langs[k], float(min(1.0, sums[i][k] / sums[i].sum()))
+    return best, score
+
+
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row, repeated rows included.
 
-    The whole text is cut into windows of WINDOW bytes; their probabilities, weighted by the bytes in
-    them, are averaged. ``und`` with score 0 where the text is null or has no letter, or where nothing
-    could be learned. Null ids are kept and count as not held out; equal texts get equal results; an
-    empty table gives no rows; other columns are not looked at.
+    ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned. Null ids are
+    kept and count as not held out; equal texts get equal results; an empty table gives no rows; other columns are
+    not looked at.
     """
     python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            best, score = ["und"] * len(texts), [0.0] * len(texts)
-            usable = [i for i, t in enumerate(texts) if net and any(map(str.isalpha, t))]
-            sums = np.zeros((len(texts), len(net.langs) if net else 1))
-            held: list[tuple[int, np.ndarray]] = []
-            waiting = 0
-
-            def flush():
-                owner = np.repeat([i for i, _ in held], [len(w) for _, w in held])
-                rows = np.concatenate([w for _, w in held])
-                for at in range(0, len(rows), BATCH_WINDOWS):
-                    part = rows[at : at + BATCH_WINDOWS]
-                    full = np.count_nonzero(part, axis=1)[:, None]
-                    np.add.at(sums, owner[at : at + BATCH_WINDOWS], probabilities(net, part) * full)
-                held.clear()
-
-            for i in usable:
-                held.append((i, windows_of(texts[i])))
-                waiting += len(held[-1][1])
-                if waiting >= 16 * BATCH_WINDOWS:
-                    flush()
-                    waiting = 0
-            if held:
-                flush()
-            for i in usable:
-                k = int(sums[i].argmax())
-                best[i], score[i] = net.langs[k], float(min(1.0, sums[i][k] / sums[i].sum()))
+            best, score = classify(net, [t.as_py() or "" for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(best, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
@@ -185,3 +191,16 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
 
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
     return rows.mapInArrow(run, f"doc_id {id_type(docs)}, held_out boolean, lang_pred string, score double")
+
+
+def in_known_language(docs: DataFrame, net: Network | None, least: float = ACCEPT) -> DataFrame:
+    """The rows and columns of ``docs`` whose text is in a learned language with a score of at least ``least``."""
+    python_tasks(docs.sparkSession)
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, score = classify(net, [t.as_py() or "" for t in batch.column(text)])
+            yield batch.filter(pa.array([b != "und" and s >= least for b, s in zip(best, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

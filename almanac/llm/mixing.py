@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from almanac.llm.common import python_tasks, words
 from almanac.session import materialize
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLOCK_WORDS = 512
 SHARD_BLOCKS = 4096
 WEIGHTS = (3, 1, 2)
@@ -204,3 +206,55 @@ def _same_key(a: str, b: str) -> Column:
 
 def _joined(laid: DataFrame, taken: DataFrame) -> DataFrame:
     return laid.alias("a").join(taken.alias("b"), _same_key("a", "b"), "left").drop(F.col("b.key"))
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words [lo, hi) of each span as they stand in the text; spans that repeat come after all the others, on new lines."""
+    found = [m.span() for m in WORD.finditer(text)]
+    times: dict[int, list[int]] = {}
+    for lo, hi in sorted(spans, key=lambda s: (s[0], -s[1])):
+        times.setdefault(lo, []).append(hi)
+    parts = []
+    for turn in range(max(map(len, times.values()), default=0)):
+        runs: list[list[int]] = []
+        for lo in sorted(times):
+            if len(times[lo]) > turn:
+                hi = times[lo][turn]
+                if runs and runs[-1][1] == lo:
+                    runs[-1][1] = hi
+                else:
+                    runs.append([lo, hi])
+        parts += [text[found[a][0] : found[b - 1][1]] for a, b in runs]
+    return "\n".join(parts)
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows and columns of ``docs`` that the mix takes words of, with ``text`` holding the words taken.
+
+    Words taken twice stand in the text twice. Rows that are equal in id and text are numbered in one task.
+    """
+    laid, pieces = plan(docs, **how)
+    spans = pieces.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = spans.groupBy(*_row_keys("key.doc_id", F.col("key.digest"))).agg(F.collect_list(F.struct(F.col("key.copy").alias("copy"), "spans")).alias("copies"))
+    rows = docs.select(F.struct("*").alias("row"), *_row_keys("doc_id", F.xxhash64("text")))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")).cast("long"))
+    joined = rows.join(spans, ["k1", "k2"])
+    joined = joined.select("row", F.filter("copies", lambda c: c["copy"] == F.col("copy")).alias("own")).where(F.size("own") > 0)
+    joined = joined.select("row.*", F.col("own")[0]["spans"].alias("_spans"))
+    text, columns = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [
+                _cut(t.as_py(), [(x["lo"], x["hi"]) for x in s.as_py()])
+                for t, s in zip(batch.column(text), batch.column(len(columns)), strict=True)
+            ]
+            arrays = [batch.column(i) for i in range(len(columns))]
+            arrays[text] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def _row_keys(doc_id: str, digest: Column) -> list[Column]:
+    return [F.xxhash64(F.col(doc_id), digest).alias("k1"), F.xxhash64(digest, F.col(doc_id)).alias("k2")]
