@@ -3,18 +3,20 @@
 The first half are functions from the old rows to the new rows. The second half
 keeps catalog tables current: a Parquet table cannot change in place, so the new
 rows are written to a new folder and the table is pointed there; the old folder
-stays until it is cleaned up, so readers that have started can finish.
+stays, so readers that have started can finish, until :func:`remove_old_versions`.
+Tables live below the location of their database, never in the scratch folder.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
 from .ordering import Keys, as_columns
 from .rows import equals_all
 
@@ -134,7 +136,7 @@ def table_exists(spark: SparkSession, table: str) -> bool:
 
 
 def create_table(df: DataFrame, table: str, if_not: bool = True, partition_by: Sequence[str] = ()) -> None:
-    """An empty table with the columns of ``df``, kept in its own folder of the shared folder."""
+    """An empty table with the columns of ``df``."""
     spark = df.sparkSession
     if table_exists(spark, table):
         if if_not:
@@ -143,18 +145,65 @@ def create_table(df: DataFrame, table: str, if_not: bool = True, partition_by: S
     _write_new(flatten_nested(df).limit(0), table, partition_by)
 
 
+COLUMN_ORDER = "almanac.columns"  # table property: the columns in the order they were given
+
+
+def _names(spark: SparkSession, table: str) -> tuple[str, str]:
+    database, _, name = table.rpartition(".")
+    return database or spark.catalog.currentDatabase(), name
+
+
+def _home(spark: SparkSession, table: str) -> str:
+    """The folder of all versions of a table, in its database's location."""
+    database, name = _names(spark, table)
+    return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{name}.versions"
+
+
+def _new_version(spark: SparkSession, table: str) -> str:
+    return f"{_home(spark, table)}/{uuid.uuid4().hex}"
+
+
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
+def _column_order(spark: SparkSession, table: str) -> list[str]:
+    """The columns in the order they were given; Spark itself moves partition columns to the end."""
+    known = spark.table(table).columns
+    found = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == COLUMN_ORDER).collect()
+    first = json.loads(found[0]["value"]) if found else []
+    return [c for c in first if c in known] + [c for c in known if c not in first]
+
+
+def _keep_order(spark: SparkSession, table: str, columns: Sequence[str]) -> None:
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({_literal(COLUMN_ORDER)} = {_literal(json.dumps(list(columns)))})")
+
+
 def _write_new(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
-    path = scratch_path(df.sparkSession, table.replace(".", "-"))
-    writer = df.write.format("parquet").option("path", path)
+    spark = df.sparkSession
+    writer = df.write.format("parquet").option("path", _new_version(spark, table))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(table)
+    _keep_order(spark, table, df.columns)
+
+
+def _aligned(df: DataFrame, table: str) -> DataFrame:
+    """``df`` with the columns of the table in its own order, matched by name where all names
+    agree and otherwise by position in the order in which the table's columns were given."""
+    spark = df.sparkSession
+    target = spark.table(table).schema
+    if sorted(c.lower() for c in df.columns) == sorted(f.name.lower() for f in target):
+        df = df.select(*[f.name for f in target])
+        return to_schema(df, target)
+    given = T.StructType([target[c] for c in _column_order(spark, table)])
+    return to_schema(df, given).select(*target.names)
 
 
 def write_table(df: DataFrame, table: str, if_not: bool = True, partition_by: Sequence[str] = ()) -> None:
     """Create the table unless it exists (an error with ``if_not=False``) and append all rows.
 
-    New columns meet an existing table by position.
+    Columns meet an existing table by name if the names are the same, else by position.
     """
     spark = df.sparkSession
     if not table_exists(spark, table):
@@ -162,28 +211,75 @@ def write_table(df: DataFrame, table: str, if_not: bool = True, partition_by: Se
     elif not if_not:
         raise ValueError(f"table {table} exists")
     else:
-        target = spark.table(table).schema
-        to_schema(df, target).write.insertInto(table)
+        _aligned(df, table).write.insertInto(table)
 
 
-def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] = ()) -> None:
+def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] | None = None) -> None:
     """The table with other rows, and with other columns if ``df`` has them.
 
-    ``df`` may read the table itself: the new rows are complete before the switch.
+    ``df`` may read the table itself: the new rows are complete in a folder of their own before the
+    switch. For a table without partitions and with the same columns the switch is one change of the table's
+    location, and defaults and properties stay. The catalog keeps a location for each partition, so
+    a partitioned table, like one with other columns, is exchanged for a new entry: the old one is kept under
+    another name until the new one is in place. ``partition_by`` None keeps the partitioning.
     """
     spark = df.sparkSession
-    following = f"{table}__next"
-    spark.sql(f"DROP TABLE IF EXISTS {following}")
-    _write_new(flatten_nested(df), following, partition_by)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    rename_table(spark, following, table)
+    flat = flatten_nested(df)
+    if not table_exists(spark, table):
+        _write_new(flat, table, partition_by or ())
+        return
+    old = partition_columns(spark, table)
+    wanted = [c for c in old if c in flat.columns] if partition_by is None else list(partition_by)
+    target = spark.table(table).schema
+    if not wanted and not old and {(f.name, f.dataType) for f in flat.schema} == {(f.name, f.dataType) for f in target}:
+        path = _new_version(spark, table)
+        flat.select(*target.names).write.parquet(path)
+        spark.sql(f"ALTER TABLE {table} SET LOCATION {_literal(path)}")
+        spark.catalog.refreshTable(table)
+        return
+    mark = uuid.uuid4().hex[:12]
+    _write_new(flat, f"{table}__new_{mark}", wanted)
+    rename_table(spark, table, f"{table}__old_{mark}")
+    rename_table(spark, f"{table}__new_{mark}", table)
+    spark.sql(f"DROP TABLE {table}__old_{mark}")
 
 
 def rewrite_table(spark: SparkSession, table: str, change: Callable[[DataFrame], DataFrame]) -> None:
-    """Copy on write: ``change`` maps the old rows to the new ones."""
+    """Copy on write: ``change`` maps the old rows to the new ones. The partitioning stays."""
     replace_table(change(spark.table(table)), table)
 
 
+def expire(spark: SparkSession, table: str, field: str, moment) -> None:
+    """Retention in a stored table: delete rows older than ``moment``; rows without a date stay.
+
+    Where the table has a partition for each value of ``field``, old partitions leave the catalog and no
+    data is read or written; otherwise the table is rewritten.
+    """
+    if partition_columns(spark, table) != [field]:
+        rewrite_table(spark, table, lambda df: delete_before(df, field, moment))
+        return
+    values = spark.table(table).select(F.col(field).alias("v")).distinct().where(F.col("v") < F.lit(moment))
+    for row in values.select(F.col("v").cast("string").alias("v")).collect():
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({field} = {_literal(row['v'])})")
+    spark.catalog.refreshTable(table)
+
+
+def remove_old_versions(spark: SparkSession, table: str) -> int:
+    """Delete the folders that earlier versions of a table have left; returns their number.
+
+    Call it when no reader of an earlier version is left.
+    """
+    rows = spark.sql(f"DESCRIBE FORMATTED {table}").where(F.col("col_name") == "Location").collect()
+    current = rows[0]["data_type"].rstrip("/").rsplit("/", 1)[-1]
+    jvm = spark.sparkContext._jvm
+    home = jvm.org.apache.hadoop.fs.Path(_home(spark, table))
+    system = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in system.listStatus(home) if s.getPath().getName() != current] if system.exists(home) else []
+    for path in old:
+        system.delete(path, True)
+    return len(old)
+
+
 def append_absent(new: DataFrame, table: str, keys: Sequence[str], order_by: Keys = ()) -> None:
     """Insert into a stored table the rows whose key it does not hold yet."""
     spark = new.sparkSession
@@ -226,12 +322,12 @@ def drop_temp_tables(spark: SparkSession, database: str) -> list[str]:
 
 
 def snapshot_append(df: DataFrame, table: str, run_datetime, sub_task: str, overwrite: bool = False) -> None:
-    """Append the rows of one run to a history table."""
+    """Append the rows of one run to a history table, which has a partition for each run."""
     rows = snapshot_rows(df, run_datetime, sub_task)
     if overwrite:
-        replace_table(rows, table)
+        replace_table(rows, table, ["run_datetime"])
     else:
-        write_table(rows, table)
+        write_table(rows, table, partition_by=["run_datetime"])
 
 
 def archive_database(

@@ -12,27 +12,37 @@ from pyspark.sql import types as T
 from ..functions.names import unique_names
 from ..functions.text import fold_case
 from .columns import Key, position_of
-from .ordering import has_large_group
 from .setops import union
 
-KEY_ROWS = 1_000_000  # rows of one key on the side an outer join cannot split
 JOIN_WORDS = ("inner", "left", "right", "outer")
 UNION_WORDS = ("union", "unite")
 EXACT_NUMBER = "decimal(38,10)"
+#: Text with a nonzero digit behind the ten that EXACT_NUMBER keeps, or written with an exponent.
+TOO_FINE = r"\.\d{10}\d*[1-9]|[eE]"
 
 
 def _comparable(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, nocase: bool) -> tuple[Column, Column]:
-    """Key expressions of both sides: ASCII case folded for text, text read as a number
-    where the other side is one."""
+    """Key expressions of both sides: ASCII case folded for text, and text read as the
+    other side's type where that is a number, a date, a time or a boolean.
+
+    Text that cannot be read so matches nothing. Whole and decimal numbers are compared
+    without rounding: text with more digits than the decimal keeps is no match.
+    """
     a_text, b_text = isinstance(a_type, T.StringType), isinstance(b_type, T.StringType)
     if a_text and b_text:
         return (fold_case(a), fold_case(b)) if nocase else (a, b)
-    if a_text and isinstance(b_type, T.NumericType):
-        to = "double" if isinstance(b_type, T.FractionalType) and not isinstance(b_type, T.DecimalType) else EXACT_NUMBER
-        return F.trim(a).try_cast(to), b.cast(to)
-    if b_text and isinstance(a_type, T.NumericType):
+    if b_text and not a_text:
         right, left = _comparable(b, b_type, a, a_type, nocase)
         return left, right
+    if not a_text:
+        return a, b
+    text = F.trim(a)
+    if isinstance(b_type, (T.FloatType, T.DoubleType)):
+        return text.try_cast("double"), b.cast("double")
+    if isinstance(b_type, T.NumericType):
+        return F.when(~text.rlike(TOO_FINE), text.try_cast(EXACT_NUMBER)), b.cast(EXACT_NUMBER)
+    if isinstance(b_type, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        return text.try_cast(b_type), b
     return a, b
 
 
@@ -44,8 +54,7 @@ def join(
     nocase: bool = True,
     nulls_equal: bool = False,
     drop_redundant: bool = True,
-    skewed: bool | None = None,
-    key_rows: int = KEY_ROWS,
+    skewed: bool = False,
 ) -> DataFrame:
     """Join two tables.
 
@@ -58,10 +67,11 @@ def join(
     and left joins drop the right keys, a right join drops the left keys, an outer
     join keeps both; ``drop_redundant=False`` keeps all.
 
-    Adaptive execution splits a hot key on either side of an inner join, but not on
-    the side that an outer join fills with NULL. ``skewed`` None counts the keys
-    there and, if one has more than ``key_rows`` rows, runs the outer join as an
-    inner join plus the rows without a partner; True or False skips the count.
+    Adaptive execution splits a hot key on either side of an inner join and on the
+    preserved side of an outer one. Where a key may be hot on the side that an outer join
+    fills with NULL, say ``skewed=True``: the join then runs as an inner join plus the
+    rows without a partner, which splits there too and reads both inputs twice. Nothing
+    is counted and no job runs while a join is built.
     """
     how = how.lower().strip()
     if how in UNION_WORDS:
@@ -84,10 +94,6 @@ def join(
     if how == "inner":
         joined = l_df.join(r_df, _matches(pairs, nulls_equal), "inner")
     else:
-        if skewed is None:
-            skewed = (how in ("left", "outer") and has_large_group(r_df, [b for _, b in pairs], key_rows)) or (
-                how in ("right", "outer") and has_large_group(l_df, [a for a, _ in pairs], key_rows)
-            )
         if skewed:
             joined = _outer_by_parts(l_df, r_df, pairs, how, nulls_equal)
         else:

@@ -4,8 +4,8 @@ Spark rows have no order, so every operator names the columns that order them.
 Nothing here puts a whole table, or a group of unknown size, into one task:
 
 * positions come from a parallel sort, a counter per task and one count per task;
-* ranks and numbers use a plain window only where every group is known to be
-  small, and otherwise a running count over sorted values.
+* ranks and numbers are a running count over sorted values, whatever the groups'
+  sizes; a plain window is used only where the caller says that groups are small.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-GROUP_ROWS = 5_000_000  # largest group that is left to a single task
 COUNTER_BITS = 33  # monotonically_increasing_id: task number above, row counter below
 
 Keys = Sequence[str | Column]
@@ -28,16 +27,6 @@ def as_columns(keys: Keys) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
-def has_large_group(df: DataFrame, keys: Keys, limit: int) -> bool:
-    """Whether some key value holds more than ``limit`` rows.
-
-    Reads only the key columns, and counts are combined before the shuffle.
-    """
-    named = df.select(*[k.alias(f"k{i}") for i, k in enumerate(as_columns(keys))])
-    counts = named.groupBy(*named.columns).count()
-    return not counts.where(F.col("count") > limit).select(F.lit(1)).limit(1).isEmpty()
-
-
 def _task_of(counter: str) -> Column:
     return F.shiftright(counter, COUNTER_BITS)
 
@@ -77,32 +66,30 @@ def _all_equal(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
 
 
-def numbered(
-    df: DataFrame,
-    partition_by: Keys,
-    order_by: Keys,
-    name: str = "number",
-    spread: bool | None = None,
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
+def _with_first(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the smallest ``value`` of each group of ``keys``; no keys: of all rows."""
+    if not keys:
+        return df.withColumn(name, df.agg(F.min(value)).scalar())
+    firsts = [f"first_{k}" for k in keys]
+    first = df.groupBy(*[F.col(k).alias(f) for k, f in zip(keys, firsts)]).agg(F.min(value).alias(name))
+    return df.join(first, _all_equal(keys, firsts)).drop(*firsts)
+
+
+def numbered(df: DataFrame, partition_by: Keys, order_by: Keys, name: str = "number", spread: bool = True) -> DataFrame:
     """Number the rows of each group from 1. ``order_by`` should end in a unique key.
 
-    ``spread`` None counts the groups first and numbers through a parallel sort
-    where one of them is too large for a task; True or False skips the count.
+    Rows are numbered through one parallel sort, so a group may be the whole table, and
+    no partition keys number the table. ``spread=False`` uses a window, which puts each
+    group into one task.
     """
     groups = as_columns(partition_by)
-    if spread is None:
-        spread = has_large_group(df, groups, group_rows)
     if not spread:
         window = Window.partitionBy(*groups).orderBy(*as_columns(order_by))
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     keys = [f"g{i}" for i in range(len(groups))]
     keyed = df.select("*", *[g.alias(k) for g, k in zip(groups, keys)])
-    placed = with_position(keyed, [*keys, *order_by], "p")
-    firsts = [f"f{i}" for i in range(len(groups))]
-    first = placed.groupBy(*[F.col(k).alias(f) for k, f in zip(keys, firsts)]).agg(F.min("p").alias("p0"))
-    joined = placed.join(first, _all_equal(keys, firsts))
-    return joined.select(*[placed[c] for c in df.columns], (F.col("p") - F.col("p0") + 1).alias(name))
+    placed = _with_first(with_position(keyed, [*keys, *order_by], "p"), keys, "p", "p0")
+    return placed.select(*df.columns, (F.col("p") - F.col("p0") + 1).alias(name))
 
 
 def _sort_key(col: Column, desc: bool) -> Column:
@@ -125,10 +112,8 @@ def _rank_spread(df: DataFrame, groups: list[Column], key: Column, desc: bool, n
         .join(F.broadcast(_before_task(stored, "n", F.sum("m"))), "task")
         .withColumn("at", F.col("before") + F.col("earlier"))
     )
-    firsts = [f"f{i}" for i in range(len(groups))]
-    first = counted.groupBy(*[F.col(g).alias(f) for g, f in zip(cols, firsts)]).agg(F.min("at").alias("at0"))
     value_names = [f"v{i}" for i in range(len(cols))]
-    ranks = counted.join(first, _all_equal(cols[:-1], firsts)).select(
+    ranks = _with_first(counted, cols[:-1], "at", "at0").select(
         *[F.col(c).alias(v) for c, v in zip(cols, value_names)],
         (F.col("at") - F.col("at0") + 1).alias(name),
     )
@@ -137,9 +122,7 @@ def _rank_spread(df: DataFrame, groups: list[Column], key: Column, desc: bool, n
     return joined.select(*[keyed[c] for c in df.columns], name)
 
 
-def _rank(df, groups, key, desc, name, spread, group_rows) -> DataFrame:
-    if spread is None:
-        spread = has_large_group(df, groups, group_rows)
+def _rank(df: DataFrame, groups: list[Column], key: Column, desc: bool, name: str, spread: bool) -> DataFrame:
     if spread:
         return _rank_spread(df, groups, key, desc, name)
     window = Window.partitionBy(*groups).orderBy(_sort_key(key, desc))
@@ -151,8 +134,7 @@ def rank(
     partition_by: Sequence[str | int],
     order_by: Sequence[str | int],
     desc: bool = False,
-    spread: bool | None = None,
-    group_rows: int = GROUP_ROWS,
+    spread: bool = True,
 ) -> DataFrame:
     """SQL RANK within the groups of ``partition_by``, by the first key of ``order_by``.
 
@@ -162,7 +144,7 @@ def rank(
     key = _name(df, order_by[0])
     groups = [F.col(_name(df, k)) for k in partition_by]
     name = f"rank_many_by_{key}" + ("_desc" if desc else "")
-    return _rank(df, groups, F.col(key), desc, name, spread, group_rows)
+    return _rank(df, groups, F.col(key), desc, name, spread)
 
 
 def rank_one(
@@ -170,13 +152,12 @@ def rank_one(
     partition_by: str | int,
     order_by: str | int,
     desc: bool = False,
-    spread: bool | None = None,
-    group_rows: int = GROUP_ROWS,
+    spread: bool = True,
 ) -> DataFrame:
     """:func:`rank` with one partition key; the column is ``rank_<partition>_by_<key>[_desc]``."""
     part, key = _name(df, partition_by), _name(df, order_by)
     name = f"rank_{part}_by_{key}" + ("_desc" if desc else "")
-    return _rank(df, [F.col(part)], F.col(key), desc, name, spread, group_rows)
+    return _rank(df, [F.col(part)], F.col(key), desc, name, spread)
 
 
 def _name(df: DataFrame, key: str | int) -> str:

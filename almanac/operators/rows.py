@@ -166,7 +166,7 @@ def latest_match(
     mode: str = "all",
     order_by: Keys = (),
     out: str = "saved_as",
-    spread: bool | None = None,
+    spread: bool = True,
 ) -> DataFrame:
     """Rows whose ``name`` matches ``pattern``, with the name to save each one under.
 

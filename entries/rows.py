@@ -106,9 +106,20 @@ def rank_desc(spark, sf):
 
 
 def rank_large_groups(spark, sf):
-    """The plan for groups too large for a task, whatever the size here."""
+    """Three groups that hold all orders."""
     orders = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    return O.rank(orders, ["o_orderstatus"], ["o_orderdate"], spread=True)
+    return O.rank(orders, ["o_orderstatus"], ["o_orderdate"])
+
+
+def rank_small_groups(spark, sf):
+    """The window for groups that the caller knows to be small: the lines of an order."""
+    li = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return O.rank(li, ["l_orderkey"], ["l_quantity"], spread=False)
+
+
+def rank_whole_table(spark, sf):
+    """No partition key: the whole table is one group."""
+    return O.rank(read(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), [], ["o_orderdate"])
 
 
 def rank_one(spark, sf):
@@ -150,6 +161,8 @@ QUERIES = {
     "rank": rank,
     "rank_desc": rank_desc,
     "rank_large_groups": rank_large_groups,
+    "rank_small_groups": rank_small_groups,
+    "rank_whole_table": rank_whole_table,
     "rank_one": rank_one,
     "sort_by": sort_by,
     "sort_positions": sort_positions,
@@ -204,6 +217,13 @@ SQL = {
         FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority,
                      CASE WHEN o_orderkey % 5 <> 0 THEN CAST(floor(o_totalprice / 1000) AS BIGINT) END AS price
               FROM orders)""",
+    "rank_small_groups": """
+SELECT l_orderkey, l_linenumber, l_quantity,
+       rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity NULLS FIRST) AS rank_many_by_l_quantity
+FROM lineitem""",
+    "rank_whole_table": """
+SELECT o_orderkey, o_totalprice, o_orderdate, rank() OVER (ORDER BY o_orderdate NULLS FIRST) AS rank_many_by_o_orderdate
+FROM orders""",
     "rank_large_groups": """
         SELECT o_orderkey, o_orderstatus, o_orderdate,
                rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS rank_many_by_o_orderdate

@@ -111,7 +111,7 @@ def test_snapshots(spark, database):
     for day in (1, 2):
         dml.snapshot_append(spark.range(day), f"{database}.history", datetime.datetime(2024, 1, day), "t")
     got = spark.table(f"{database}.history")
-    assert got.columns == ["run_datetime", "sub_task", "id"] and got.count() == 3
+    assert got.columns == ["sub_task", "id", "run_datetime"] and got.count() == 3  # the partition column is last
     dml.snapshot_append(spark.range(1), f"{database}.history", datetime.datetime(2024, 1, 3), "t", overwrite=True)
     assert spark.table(f"{database}.history").count() == 1
     spark.sql(f"DROP TABLE {database}.history")
@@ -160,3 +160,61 @@ def test_inbox_goes_on_where_it_stopped(spark):
 
     assert batch([("Sales Q1", "x"), ("lunch", "y")]) == ["Sales Q1"]
     assert batch([("hello", "boss@a"), (None, None)]) == ["Sales Q1", "hello"]
+
+
+def test_append_to_a_partitioned_table_keeps_columns_apart(spark, database):
+    name = f"{database}.swapped"
+    df = spark.createDataFrame([(100, 1), (200, 2)], "k long, id long")
+    dml.write_table(df, name, partition_by=["k"])
+    dml.write_table(df, name)
+    dml.write_table(df.select("id", "k"), name)
+    dml.write_table(df.toDF("x", "y"), name)
+    assert sorted(tuple(r) for r in spark.table(name).select("k", "id").collect()) == sorted([(100, 1), (200, 2)] * 4)
+
+
+def test_rewrite_keeps_partitions_and_defaults(spark, database):
+    name = f"{database}.kept_parts"
+    dml.write_table(spark.range(10).select((F.col("id") % 2).alias("p"), "id"), name, partition_by=["p"])
+    dml.rewrite_table(spark, name, lambda df: dml.delete_where(df, [("id", 3)]))
+    assert dml.partition_columns(spark, name) == ["p"] and spark.table(name).count() == 9
+    plain = f"{database}.kept_default"
+    dml.write_table(spark.range(3), plain)
+    dml.add_table_column(spark, plain, "note", "string", "new")
+    dml.rewrite_table(spark, plain, lambda df: dml.delete_where(df, [("id", 1)]))
+    spark.sql(f"INSERT INTO {plain} (id) VALUES (7)")
+    assert sorted(tuple(r) for r in spark.table(plain).collect()) == [(0, "new"), (2, "new"), (7, "new")]
+
+
+def test_failed_replace_leaves_the_old_rows(spark, database, monkeypatch):
+    for name, kind in ((f"{database}.safe", {}), (f"{database}.safe_parts", {"partition_by": ["id"]})):
+        dml.write_table(spark.range(4).withColumn("v", F.lit(1)), name, **kind)
+        broken = spark.range(8).select("id", F.raise_error(F.lit("no")).cast("int").alias("v"))
+        with pytest.raises(Exception):
+            dml.replace_table(broken, name)
+        assert spark.table(name).count() == 4
+    monkeypatch.setattr(dml, "rename_table", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        dml.replace_table(spark.range(2).toDF("other"), f"{database}.safe")
+    assert spark.table(f"{database}.safe").count() == 4
+
+
+def test_old_versions_can_be_removed(spark, database):
+    name = f"{database}.versions"
+    dml.write_table(spark.range(5), name)
+    for n in (4, 3):
+        dml.replace_table(spark.range(n), name)
+    assert dml.remove_old_versions(spark, name) == 2 and dml.remove_old_versions(spark, name) == 0
+    assert spark.table(name).count() == 3
+
+
+def test_expired_runs_leave_the_history(spark, database):
+    name = f"{database}.runs"
+    for day in (1, 2, 3):
+        dml.snapshot_append(spark.range(day), name, datetime.datetime(2024, 1, day, 6), "t")
+    assert dml.partition_columns(spark, name) == ["run_datetime"]
+    dml.expire(spark, name, "run_datetime", datetime.datetime(2024, 1, 2))
+    assert spark.table(name).count() == 5
+    plain = f"{database}.dated"
+    dml.write_table(spark.sql("SELECT DATE'2024-01-01' AS d UNION ALL SELECT DATE'2024-02-01' UNION ALL SELECT NULL"), plain)
+    dml.expire(spark, plain, "d", datetime.date(2024, 1, 15))
+    assert spark.table(plain).count() == 2
