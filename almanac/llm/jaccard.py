@@ -24,10 +24,11 @@ BLOCKS = 128
 #: The chance that a link shares too few of those blocks, for sketches with more.
 MISS = 1e-12
 MEMO_WORDS = 1 << 18
-HUB_ROUNDS = 3
 
 #: Taken from the band in the second row of a document.
 SECOND = 1 << 20
+#: Bits of the parity sketches that pairs are compared by inside a join.
+PARITY_BITS = 2048
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _STEP = np.uint64(0x94D049BB133111EB)
@@ -124,6 +125,12 @@ def sketch(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     return keys.view(np.int64), quota
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as longs: each element flips one, so two sketches differ in at most the symmetric difference."""
+    bits = np.bincount((hashes >> np.uint64(3)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def bands(n: int) -> list[int]:
     """The band of a set with ``n`` elements, and the one below if a linked set can be in it."""
     band = n.bit_length() - 1
@@ -171,8 +178,19 @@ def _sized(n: Column, m: Column) -> Column:
     return (F.least(n, m) * 100) >= (F.greatest(n, m) * PERCENT)
 
 
+def _near(bits: str, others: str, n: Column, m: Column) -> Column:
+    """Whether the parity sketches of sets of ``n`` and ``m`` elements differ in no more bits than a linked pair may."""
+    differ = F.lit(0)
+    for i in range(PARITY_BITS // 64):
+        differ = differ + F.bit_count(F.get(F.col(bits), F.lit(i)).bitwiseXOR(F.get(F.col(others), F.lit(i))))
+    return differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
+
+
 def _buckets(sketched: DataFrame) -> DataFrame:
-    """``key, fp, n``: what is left of the join keys when each set keeps its rarest ones and lone keys are gone."""
+    """``key, fp, n, lone``: what is left of the join keys when each set keeps its rarest ones and lone keys are gone.
+
+    ``lone`` is the number of the set's keys that no other set has.
+    """
     keys = sketched.where(F.col("keys").isNotNull()).select("fp", "n", "band", "quota", F.size("keys").alias("made"), F.explode("keys").alias("key"))
     common = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     shared = keys.join(common, "key").groupBy("key", "fp", "n", "band", "quota", "made").agg(F.count("*").alias("c"))
@@ -182,22 +200,26 @@ def _buckets(sketched: DataFrame) -> DataFrame:
     one = Window.partitionBy("fp", "n", "band")
     order = one.orderBy(F.col("key").bitwiseAND(F.lit(1)), "f", "key")
     rare = rare.withColumn("lone", F.col("made") - F.count("*").over(one)).withColumn("place", F.row_number().over(order))
-    return rare.where(F.col("place") <= F.col("quota") - F.col("lone")).select("key", "fp", "n")
+    return rare.where(F.col("place") <= F.col("quota") - F.col("lone")).select("key", "fp", "n", "lone")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``fp, n, hashes``: the shingles of one text of each wanted set, as bytes. ``wanted`` has ``doc_id, mark, fp, n``."""
+    """``fp, n, hashes, bits``: the shingles of one text of each wanted set, as bytes, and their parity sketch.
+
+    ``wanted`` has ``doc_id, mark, fp, n``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for batch in batches:
-            data = [shingles(t.as_py(), memo).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["fp", "n", "hashes"])
+            sets = [shingles(t.as_py(), memo) for t in batch.column(2)]
+            data = [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([parity(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *data], names=["fp", "n", "hashes", "bits"])
 
     right = wanted.select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "fp", "n")
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     joined = texts.join(right, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m"))).select("fp", "n", "text")
-    return joined.mapInArrow(run, "fp long, n long, hashes binary")
+    return joined.mapInArrow(run, "fp long, n long, hashes binary, bits array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,49 +245,55 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checked.select(F.struct(F.col("an").alias("n"), F.col("afp").alias("fp")).alias("a"), F.struct(F.col("bn").alias("n"), F.col("bfp").alias("fp")).alias("b"))
 
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _labelled(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key, x, label, bits`` of the buckets that hold sets with different labels; a set without one is its own."""
+    rows = members.join(labels, "x", "left").withColumn("label", F.coalesce("label", "x"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+    bits = sets.select(F.struct("n", "fp").alias("x"), "bits")
+    return materialize(rows.join(mixed, "key").join(bits, "x"), "labels")
 
 
-def _links(buckets: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links enough to connect whatever is linked, without pairing all of a bucket's sets.
+def _grouped(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, component`` of all sets that are linked, found without pairing all of a bucket's sets.
 
-    In each round every bucket has a hub, and the sets that are not yet connected with it are compared with it. Groups of
-    near copies come together in the first rounds. Then all pairs of a bucket that are still not connected are
-    compared, so no link between different components is missed.
+    First each set is compared with the one in its buckets that has the fewest keys of its own: of a text and its near copies, the text.
+    Then each bucket has another set as its hub, and those not yet connected with it are compared with it. Groups of near copies
+    come together this way. Last, all pairs of a bucket that are still not connected are compared, so no link between different
+    components is missed. In both steps pairs whose parity sketches differ too much to be linked never leave the join.
     """
     members = buckets.select("key", F.struct("n", "fp").alias("x"))
-    links: DataFrame | None = None
-    tested: DataFrame | None = None
-    for turn in range(HUB_ROUNDS + 1):
-        if links is None:
-            labelled = members.withColumn("label", F.col("x"))
-        else:
-            found = components(links).select(F.col("node").alias("x"), F.col("component").alias("label"))
-            labelled = members.join(found, "x", "left").withColumn("label", F.coalesce("label", "x"))
-            mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-            labelled = materialize(labelled.join(mixed, "key"), "labels")
-            if labelled.isEmpty():
-                break
-        if turn < HUB_ROUNDS:
-            rank = F.xxhash64("x", F.lit(turn)) if turn else F.lit(0)
-            hubs = labelled.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "x", "label")).alias("hub")).select("key", "hub.*")
-            hubs = hubs.select("key", F.col("x").alias("y"), F.col("label").alias("other"))
-            pairs = labelled.join(hubs, "key").where((F.col("label") != F.col("other")) & _sized(F.col("x.n"), F.col("y.n")))
-            if not turn:  # one hub for each set: what belongs together mostly has the same
-                pairs = pairs.groupBy("x").agg(F.min("y").alias("y"))
-        else:
-            others = labelled.select("key", F.col("x").alias("y"), F.col("label").alias("other"))
-            pairs = labelled.join(others, "key").where((F.col("x") < F.col("y")) & (F.col("label") != F.col("other")) & _sized(F.col("x.n"), F.col("y.n")))
-        pairs = pairs.select(*_pair("x", "y")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        new = materialize(_linked(pairs, sets), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        members = labelled.select("key", "x")
-    return links
+    spot = F.struct("lone", "n", "fp")
+    ranked = buckets.select("key", spot.alias("x"))
+    hubs = ranked.groupBy("key").agg(F.min("x").alias("y"))
+    near = ranked.join(hubs, "key").where((F.col("x.fp") != F.col("y.fp")) & _sized(F.col("x.n"), F.col("y.n")))
+    near = near.groupBy(F.struct("x.n", "x.fp").alias("x")).agg(F.min("y").alias("y")).select("x", F.struct("y.n", "y.fp").alias("y"))
+    first = materialize(near, "pairs")
+    both = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    tested = first.select(*both).distinct()
+    links = materialize(_linked(tested, sets), "links")
+    # What hangs on one set, and on the set that this one hangs on.
+    hung = first.select(*both, "x", F.col("y").alias("label")).join(links, ["a", "b"]).select("x", "label")
+    above = hung.select(F.col("x").alias("label"), F.col("label").alias("top"))
+    labels = hung.join(above, "label", "left").select("x", F.coalesce("top", "label").alias("label"))
+    rows = _labelled(members, labels, sets)
+
+    def compared(left: DataFrame, right: DataFrame, more: Column | None = None) -> DataFrame:
+        """New pairs of a bucket that may be linked and are not yet connected."""
+        apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & _sized(F.col("l.x.n"), F.col("r.x.n"))
+        apart = apart & _near("l.bits", "r.bits", F.col("l.x.n"), F.col("r.x.n"))
+        met = left.alias("l").join(right.alias("r"), apart if more is None else apart & more)
+        new = met.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b")).distinct()
+        return materialize(new.join(tested, ["a", "b"], "left_anti"), "pairs")
+
+    hub = F.min(F.struct(F.xxhash64("x").alias("r"), "x", "label", "bits")).alias("hub")
+    pairs = compared(rows, rows.groupBy("key").agg(hub).select("key", "hub.x", "hub.label", "hub.bits"))
+    tested = tested.unionByName(pairs)
+    links = links.unionByName(materialize(_linked(pairs, sets), "links"))
+    found = materialize(components(links), "components")
+    rows = _labelled(members, found.select(F.col("node").alias("x"), F.col("component").alias("label")), sets)
+    pairs = compared(rows, rows, F.col("l.x") < F.col("r.x"))
+    last = materialize(_linked(pairs, sets), "links")
+    return found if last.isEmpty() else components(links.unionByName(last))
 
 
 def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -278,9 +306,8 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spot = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")).alias("s")
     classes = materialize(rows.where("n > 0").groupBy("fp", "n").agg(spot), "classes")
     wanted = classes.join(few, ["fp", "n"]).select("s.doc_id", "s.mark", "fp", "n")
-    sets = _sets(docs, wanted).groupBy("fp", "n").agg(F.first("hashes").alias("hashes"))
-    links = _links(buckets, materialize(sets, "sets"))
-    found = components(links).select("node.n", "node.fp", "component")
+    sets = _sets(docs, wanted).groupBy("fp", "n").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
+    found = _grouped(buckets, materialize(sets, "sets")).select("node.n", "node.fp", "component")
     named = classes.join(found, ["n", "fp"], "left").withColumn("component", F.coalesce("component", F.struct("n", "fp")))
     least = named.groupBy("component").agg(F.min("s").alias("s"))
     return rows, named.select("n", "fp", "component").join(least, "component").select("n", "fp", "s")
