@@ -38,42 +38,48 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("digest"))
 
 
-def _lines(docs: DataFrame, with_text: bool) -> DataFrame:
-    """Lines that have a word: where they are and two digests of their lower-cased words."""
-    lines = _texts(docs).where(F.col("text").isNotNull()).select("doc_id", "digest", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+def _halves(w: Column, n: Column) -> Column:
+    """Hashes of a line's first and last half, cut as for its own length and for one word less."""
+    keys = []
+    for m in (n, n - 1):
+        p = F.floor(m / 2).cast("int")
+        keys.append(F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), p)))
+        keys.append(F.xxhash64(F.lit(1), m, F.slice(w, F.greatest(n - (m - p) + 1, F.lit(1)), m - p)))
+    return F.array(*keys)
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """Lines that have a word: ``spot`` (where they are), two digests of their lower-cased words, ``n`` and the words ``w``."""
+    lines = texts.where(F.col("text").isNotNull()).select("doc_id", "digest", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.withColumn("w", _line_words(F.col("line"))).where(F.size("w") > 0)
-    norm = F.array_join("w", " ")
-    columns = [F.struct("doc_id", "digest", "at").alias("spot"), F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit(1), norm).alias("h2")]
-    return lines.select(*columns, *([F.size("w").alias("n"), norm.alias("norm")] if with_text else []))
+    both = [F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")]
+    return lines.select(F.struct("doc_id", "digest", "at").alias("spot"), *both, F.size("w").alias("n"), "w")
 
 
-def neighbours(distinct: DataFrame) -> DataFrame:
+def neighbours(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """``h1, h2, earlier``: the earliest other line within one word edit, for lines that have an earlier one.
 
-    ``distinct`` has ``h1, h2, n, norm, first``, one row per line. Every line emits the hashes of itself and of itself without
-    each of its words; lines within one edit share such a key (with the same place left out, if a word is
-    replaced). All lines of a key are within one edit of its earliest, so keys need an aggregate and
-    no pairs. Only lines that share a half with another one emit their variants: one edit leaves the first or
-    the last half of both as it is.
+    ``distinct`` has ``h1, h2, first, halves``, one row per line; ``texts`` is where their words are. Every line emits the hashes of itself
+    and of itself without each of its words; lines within one edit share such a key (with the same place left out, if a word is
+    replaced). All lines of a key are within one edit of its earliest, so keys need an aggregate and no pairs. Only lines that
+    share a half with another one emit their variants: one edit leaves the first or the last half of both as it is. Only the texts
+    that such lines are in are read again, and words never move, only hashes.
     """
-    rows = distinct.withColumn("w", F.split("norm", " "))
-
-    def halves(m: Column) -> list[Column]:
-        p = F.floor(m / 2).cast("int")
-        return [
-            F.xxhash64(F.lit(0), m, F.slice("w", F.lit(1), p)),
-            F.xxhash64(F.lit(1), m, F.slice("w", F.col("n") - (m - p) + 1, m - p)),
-        ]
-
-    keys = rows.select("h1", "h2", F.explode(F.array(*halves(F.col("n")), *halves(F.col("n") - 1))).alias("k"))
-    shared = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    candidates = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
-    each = rows.join(candidates, ["h1", "h2"], "left_semi").select("h1", "h2", "n", "first", F.posexplode("w").alias("i", "word"))
+    keys = distinct.select("h1", "h2", F.explode("halves").alias("k"))
+    digest = F.struct("h1", "h2")
+    shared = keys.groupBy("k").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("k")
+    found = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
+    candidates = materialize(distinct.select("h1", "h2", "first").join(found, ["h1", "h2"]), "candidates")
+    where = candidates.select(F.col("first.doc_id").alias("id"), F.col("first.digest").alias("d")).distinct()
+    some = texts.join(where, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left_semi")
+    rows = _lines(some).join(candidates, ["h1", "h2"]).where(F.col("spot") == F.col("first"))
+    rows = materialize(rows.groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.first("w").alias("w")), "candidates")
     # Hashes of all words but one, from running XORs over the line.
+    each = rows.select("h1", "h2", "n", "first", F.posexplode("w").alias("i", "word"))
+    each = each.select("h1", "h2", "n", "first", "i", F.xxhash64("word", "i").alias("own"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
     line = Window.partitionBy("h1", "h2")
     so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    own, moved = F.xxhash64("word", "i"), F.xxhash64("word", F.col("i") - 1)
-    each = each.withColumn("own", own).withColumn("moved", moved).select(
+    each = each.select(
         "h1", "h2", "n", "first", "i", "own",
         F.bit_xor("own").over(so_far).alias("upto"), F.bit_xor("moved").over(so_far).alias("moved_upto"),
         F.bit_xor("moved").over(line).alias("moved_all"), F.bit_xor("own").over(line).alias("whole"),
@@ -88,27 +94,28 @@ def neighbours(distinct: DataFrame) -> DataFrame:
     replaced = by_place.where("i >= 0 AND c > 1").select("m", "v", "i", "best")
     longer = by_place.groupBy("m", "v").agg(F.min(F.when(F.col("i") < 0, F.col("best"))).alias("full"), F.min(F.when(F.col("i") >= 0, F.col("best"))).alias("cut"))
     longer = longer.where("full IS NOT NULL AND cut IS NOT NULL").select("m", "v", "full", "cut")
-    found = made.join(replaced, ["m", "v", "i"]).select("first", "h1", "h2", "best").unionByName(
+    met = made.join(replaced, ["m", "v", "i"]).select("first", "h1", "h2", "best").unionByName(
         made.join(longer, ["m", "v"]).select("first", "h1", "h2", F.when(F.col("i") < 0, F.col("cut")).otherwise(F.col("full")).alias("best"))
     )
-    found = found.where(F.col("best.first") < F.col("first")).groupBy("h1", "h2").agg(F.min("best").alias("best"))
+    met = met.where(F.col("best.first") < F.col("first")).groupBy("h1", "h2").agg(F.min("best").alias("best"))
     # A hash only proposes; the words decide.
     ours = rows.select("h1", "h2", F.col("w").alias("mine"))
     theirs = rows.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("w").alias("other"))
-    proposed = found.select("h1", "h2", F.col("best.h1").alias("g1"), F.col("best.h2").alias("g2"), F.col("best.first").alias("earlier"))
+    proposed = met.select("h1", "h2", F.col("best.h1").alias("g1"), F.col("best.h2").alias("g2"), F.col("best.first").alias("earlier"))
     return proposed.join(ours, ["h1", "h2"]).join(theirs, ["g1", "g2"]).where(_one_edit(F.col("mine"), F.col("other"))).select("h1", "h2", "earlier")
 
 
 def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """``doc_id, digest, removed``: the line numbers to take out of each text that has any."""
-    every = _lines(docs, with_text=True)
-    text = F.when(F.col("n") >= edit_words, F.col("norm"))
-    distinct = every.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.max("spot").alias("last"), F.first("n").alias("n"), F.first(text).alias("norm"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    halves = F.when(F.col("n") >= edit_words, _halves(F.col("w"), F.col("n")))
+    every = materialize(_lines(texts).select("spot", "h1", "h2", halves.alias("halves")), "lines")
+    distinct = every.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.max("spot").alias("last"), F.first("halves").alias("halves"))
     distinct = materialize(distinct, "lines")
-    near = neighbours(distinct.where(F.col("n") >= edit_words))
+    near = neighbours(distinct.where(F.col("halves").isNotNull()), texts)
     ends = distinct.select("h1", "h2", "first", "last").join(near, ["h1", "h2"], "left")
     keep = ends.select("h1", "h2", "last", F.least("first", F.coalesce("earlier", "first")).alias("keep")).where(F.col("last") > F.col("keep"))
-    spots = _lines(docs, with_text=False).join(keep.select("h1", "h2", "keep"), ["h1", "h2"]).where(F.col("spot") > F.col("keep"))
+    spots = every.select("spot", "h1", "h2").join(keep.select("h1", "h2", "keep"), ["h1", "h2"]).where(F.col("spot") > F.col("keep"))
     return spots.groupBy("spot.doc_id", "spot.digest").agg(F.array_sort(F.collect_set("spot.at")).alias("removed"))
 
 
