@@ -10,24 +10,193 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that level-2 cleaning marks with an underscore.
-RESERVED_WORDS = """
-ADD ALL ALTER AND ANY AS ASC AUTHORIZATION BACKUP BEGIN BETWEEN BREAK BROWSE BULK BY CASCADE
-CASE CHECK CHECKPOINT CLOSE CLUSTERED COALESCE COLLATE COLUMN COMMIT COMPUTE CONSTRAINT CONTAINS
-CONTAINSTABLE CONTINUE CONVERT CREATE CROSS CURRENT CURRENT_DATE CURRENT_TIME CURRENT_TIMESTAMP
-CURRENT_USER CURSOR DATABASE DBCC DEALLOCATE DECLARE DEFAULT DELETE DENY DESC DISK DISTINCT
-DISTRIBUTED DOUBLE DROP DUMP ELSE END ERRLVL ESCAPE EXCEPT EXEC EXECUTE EXISTS EXIT EXTERNAL
-FETCH FILE FILLFACTOR FOR FOREIGN FREETEXT FREETEXTTABLE FROM FULL FUNCTION GOTO GRANT GROUP
-HAVING HOLDLOCK IDENTITY IDENTITYCOL IDENTITY_INSERT IF IN INDEX INNER INSERT INTERSECT INTO IS
-JOIN KEY KILL LEFT LIKE LINENO LOAD MERGE NATIONAL NOCHECK NONCLUSTERED NOT NULL NULLIF OF OFF
-OFFSETS ON OPEN OPENDATASOURCE OPENQUERY OPENROWSET OPENXML OPTION OR ORDER OUTER OVER PERCENT
-PIVOT PLAN PRECISION PRIMARY PRINT PROC PROCEDURE PUBLIC RAISERROR READ READTEXT RECONFIGURE
-REFERENCES REPLICATION RESTORE RESTRICT RETURN REVERT REVOKE RIGHT ROLLBACK ROWCOUNT ROWGUIDCOL
-RULE SAVE SCHEMA SECURITYAUDIT SELECT SEMANTICKEYPHRASETABLE SEMANTICSIMILARITYDETAILSTABLE
-SEMANTICSIMILARITYTABLE SESSION_USER SET SETUSER SHUTDOWN SOME STATISTICS SYSTEM_USER TABLE
-TABLESAMPLE TEXTSIZE THEN TO TOP TRAN TRANSACTION TRIGGER TRUNCATE TRY_CONVERT TSEQUAL UNION
-UNIQUE UNPIVOT UPDATE UPDATETEXT USE USER VALUES VARYING VIEW WAITFOR WHEN WHERE WHILE WITH
-WRITETEXT
-""".split() + ["WITHIN GROUP"]
+RESERVED_WORDS = [
+    "ADD",
+    "EXTERNAL",
+    "PROCEDURE",
+    "ALL",
+    "FETCH",
+    "PUBLIC",
+    "ALTER",
+    "FILE",
+    "RAISERROR",
+    "AND",
+    "FILLFACTOR",
+    "READ",
+    "ANY",
+    "FOR",
+    "READTEXT",
+    "AS",
+    "FOREIGN",
+    "RECONFIGURE",
+    "ASC",
+    "FREETEXT",
+    "REFERENCES",
+    "AUTHORIZATION",
+    "FREETEXTTABLE",
+    "REPLICATION",
+    "BACKUP",
+    "FROM",
+    "RESTORE",
+    "BEGIN",
+    "FULL",
+    "RESTRICT",
+    "BETWEEN",
+    "FUNCTION",
+    "RETURN",
+    "BREAK",
+    "GOTO",
+    "REVERT",
+    "BROWSE",
+    "GRANT",
+    "REVOKE",
+    "BULK",
+    "GROUP",
+    "RIGHT",
+    "BY",
+    "HAVING",
+    "ROLLBACK",
+    "CASCADE",
+    "HOLDLOCK",
+    "ROWCOUNT",
+    "CASE",
+    "IDENTITY",
+    "ROWGUIDCOL",
+    "CHECK",
+    "IDENTITY_INSERT",
+    "RULE",
+    "CHECKPOINT",
+    "IDENTITYCOL",
+    "SAVE",
+    "CLOSE",
+    "IF",
+    "SCHEMA",
+    "CLUSTERED",
+    "IN",
+    "SECURITYAUDIT",
+    "COALESCE",
+    "INDEX",
+    "SELECT",
+    "COLLATE",
+    "INNER",
+    "SEMANTICKEYPHRASETABLE",
+    "COLUMN",
+    "INSERT",
+    "SEMANTICSIMILARITYDETAILSTABLE",
+    "COMMIT",
+    "INTERSECT",
+    "SEMANTICSIMILARITYTABLE",
+    "COMPUTE",
+    "INTO",
+    "SESSION_USER",
+    "CONSTRAINT",
+    "IS",
+    "SET",
+    "CONTAINS",
+    "JOIN",
+    "SETUSER",
+    "CONTAINSTABLE",
+    "KEY",
+    "SHUTDOWN",
+    "CONTINUE",
+    "KILL",
+    "SOME",
+    "CONVERT",
+    "LEFT",
+    "STATISTICS",
+    "CREATE",
+    "LIKE",
+    "SYSTEM_USER",
+    "CROSS",
+    "LINENO",
+    "TABLE",
+    "CURRENT",
+    "LOAD",
+    "TABLESAMPLE",
+    "CURRENT_DATE",
+    "MERGE",
+    "TEXTSIZE",
+    "CURRENT_TIME",
+    "NATIONAL",
+    "THEN",
+    "CURRENT_TIMESTAMP",
+    "NOCHECK",
+    "TO",
+    "CURRENT_USER",
+    "NONCLUSTERED",
+    "TOP",
+    "CURSOR",
+    "NOT",
+    "TRAN",
+    "DATABASE",
+    "NULL",
+    "TRANSACTION",
+    "DBCC",
+    "NULLIF",
+    "TRIGGER",
+    "DEALLOCATE",
+    "OF",
+    "TRUNCATE",
+    "DECLARE",
+    "OFF",
+    "TRY_CONVERT",
+    "DEFAULT",
+    "OFFSETS",
+    "TSEQUAL",
+    "DELETE",
+    "ON",
+    "UNION",
+    "DENY",
+    "OPEN",
+    "UNIQUE",
+    "DESC",
+    "OPENDATASOURCE",
+    "UNPIVOT",
+    "DISK",
+    "OPENQUERY",
+    "UPDATE",
+    "DISTINCT",
+    "OPENROWSET",
+    "UPDATETEXT",
+    "DISTRIBUTED",
+    "OPENXML",
+    "USE",
+    "DOUBLE",
+    "OPTION",
+    "USER",
+    "DROP",
+    "OR",
+    "VALUES",
+    "DUMP",
+    "ORDER",
+    "VARYING",
+    "ELSE",
+    "OUTER",
+    "VIEW",
+    "END",
+    "OVER",
+    "WAITFOR",
+    "ERRLVL",
+    "PERCENT",
+    "WHEN",
+    "ESCAPE",
+    "PIVOT",
+    "WHERE",
+    "EXCEPT",
+    "PLAN",
+    "WHILE",
+    "EXEC",
+    "PRECISION",
+    "WITH",
+    "EXECUTE",
+    "PRIMARY",
+    "WITHIN GROUP",
+    "EXISTS",
+    "PRINT",
+    "WRITETEXT",
+    "EXIT",
+    "PROC",
+]
 
 # Character rules of level-1 and level-2 cleaning.
 SINGLE_CHARACTERS = {"-": "_", " ": "_", "(": "", ")": "", '"': "", ";": "", ":": ""}

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordering import Keys, as_columns, numbered, with_position
 
@@ -67,6 +68,8 @@ def _condition(df: DataFrame, condition: Condition, nulls: str) -> Column:
             ">=": F.lit(True),
         }[op]
     test = COMPARISONS[op](col, F.lit(value))
+    if isinstance(df.schema[df.columns[name] if isinstance(name, int) else name].dataType, (T.FloatType, T.DoubleType)):
+        test = F.when(F.isnan(col), F.lit(op == "!=")).otherwise(test)
     return F.coalesce(test, F.lit(NULL_RESULT[op] if nulls == "low" else False))
 
 
@@ -75,6 +78,7 @@ def drop_rows_where(df: DataFrame, conditions: Sequence[Condition], nulls: str =
 
     A condition is ``(column, "< 13")`` or ``(column, "<", 13)``. ``nulls="low"``:
     NULL is below every value; ``nulls="sql"``: a comparison with NULL never holds.
+    NaN differs from everything and is neither below nor above anything.
     """
     if nulls not in ("low", "sql"):
         raise ValueError("nulls must be 'low' or 'sql'")

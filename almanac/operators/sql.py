@@ -17,13 +17,8 @@ def select(
 
     ``values`` fill ``?`` (a list) or ``:name`` (a mapping) markers.
     """
-    spark = df.sparkSession
     view = name or f"t_{uuid.uuid4().hex}"
-    df.createOrReplaceTempView(view)
-    try:
-        return spark.sql(sql.replace("{t}", view), args=_args(values))
-    finally:
-        spark.catalog.dropTempView(view)
+    return from_sql(df.sparkSession, sql.replace("{t}", view), values, {view: df})
 
 
 def from_sql(
@@ -32,14 +27,27 @@ def from_sql(
     values: Sequence | Mapping[str, object] | None = None,
     tables: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Run any SELECT over catalog tables, and over ``tables`` under their given names."""
-    for name, df in (tables or {}).items():
+    """Run any SELECT over catalog tables, and over ``tables`` under their given names.
+
+    A temporary view that the caller has under such a name is hidden meanwhile and there again afterwards.
+    """
+    tables = tables or {}
+    hidden = {}
+    for name, df in tables.items():
+        if _is_view(spark, name):
+            hidden[name] = spark.table(name)
         df.createOrReplaceTempView(name)
     try:
         return spark.sql(sql, args=_args(values))
     finally:
-        for name in tables or {}:
+        for name in tables:
             spark.catalog.dropTempView(name)
+            if name in hidden:
+                hidden[name].createOrReplaceTempView(name)
+
+
+def _is_view(spark: SparkSession, name: str) -> bool:
+    return any(t.isTemporary and t.name.lower() == name.lower() for t in spark.catalog.listTables())
 
 
 def _args(values):

@@ -9,6 +9,7 @@ from ..functions.casting import DATE_FORMATS, is_date_name, parse_date
 from .columns import position_of
 
 INTEGER = r"^[+-]?\d{1,18}$"
+LONG_INTEGER = r"^[+-]?\d{1,38}$"
 REAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 BOOLEAN = r"^(?i:true|false)$"
 
@@ -16,6 +17,7 @@ SPARK_TYPES = {
     "NULL": "string",
     "BOOLEAN": "boolean",
     "INTEGER": "bigint",
+    "LONG_INTEGER": "decimal(38,0)",
     "REAL": "double",
     "DATETIME": "timestamp_ntz",
     "TEXT": "string",
@@ -29,7 +31,7 @@ def _count(test: Column) -> Column:
 def infer_types(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     """One row per column: ``position``, ``column``, ``n_values``, ``n_bad``, ``simple_type``.
 
-    The type is the narrowest of BOOLEAN, INTEGER, REAL, DATETIME that every value
+    The type is the narrowest of BOOLEAN, INTEGER, LONG_INTEGER (19 to 38 digits), REAL, DATETIME that every value
     that is not empty parses as, else TEXT; NULL where there is no value. Dates are
     looked for only in columns whose name announces them. ``n_bad`` counts the
     values that kept a column from being a number.
@@ -47,6 +49,7 @@ def infer_types(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataF
                 F.count(c).alias("n_values"),
                 _count(c.rlike(BOOLEAN)).alias("booleans"),
                 _count(c.rlike(INTEGER)).alias("integers"),
+                _count(c.rlike(LONG_INTEGER)).alias("long_integers"),
                 _count(c.rlike(REAL)).alias("reals"),
                 dates.alias("dates"),
             ).alias(f"t{i}")
@@ -59,6 +62,7 @@ def infer_types(df: DataFrame, formats: tuple[str, ...] = DATE_FORMATS) -> DataF
         .when(F.col("booleans") == n, "BOOLEAN")
         .when(F.col("dates") == n, "DATETIME")
         .when(F.col("integers") == n, "INTEGER")
+        .when(F.col("long_integers") == n, "LONG_INTEGER")
         .when(F.col("reals") == n, "REAL")
         .otherwise("TEXT")
     )

@@ -18,14 +18,13 @@ def read_csv(
     delimiter: str = ",",
     quote_char: str = '"',
     infer: bool = True,
-    multiline: bool = True,
+    multiline: bool = False,
 ) -> DataFrame:
     """Read delimited files.
 
     ``header`` True: the first line has the names; a list: the names; False: default
     names. ``infer`` casts every column to the narrowest type all its values parse as.
-    ``multiline`` allows line breaks inside quotes, at the price that a file is not
-    split; turn it off for large files without such cells.
+    ``multiline`` allows line breaks inside quotes, at the price that no file is split.
     """
     options = dict(sep=delimiter, quote=quote_char, escape=quote_char, inferSchema=False, multiLine=multiline)
     plain = spark.read.csv(path, header=False, **options)

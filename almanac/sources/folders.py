@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Which files are reports, and what a dated folder is called.
 TEXT_FILES = "(?i).*.txt"
 DATED = r"\d{4}.\d{2}.\d{2}"
 
@@ -38,10 +39,16 @@ def choose_folder(spark: SparkSession, path: str, mode: str = "latest") -> str:
         return f"{path}/{dated.group(0)}"
     if mode != "latest":
         raise ValueError(f"mode must be all, latest or a date yyyy.mm.dd, not {mode!r}")
-    day = F.replace("folder", F.lit("."), F.lit("")).try_cast("bigint")
-    files = list_files(spark, path, "")
-    latest = files.where(day.isNotNull()).agg(F.max_by("folder", day)).first()[0]
-    return f"{path}/{latest}" if latest else path
+    dated_folders = [(int(n.replace(".", "")), n) for n in _folders_below(spark, path) if n.replace(".", "").isdigit()]
+    return f"{path}/{max(dated_folders)[1]}" if dated_folders else path
+
+
+def _folders_below(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``, empty ones included; nothing below them is listed."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(root) if s.isDirectory()]
 
 
 def read_lines(

@@ -11,7 +11,7 @@ from almanac.session import scratch_path
 from almanac.sources.catalog import describe, find_column, list_columns, list_tables
 from almanac.sources.csv import read_csv, write_csv
 from almanac.sources.encoding import to_ascii
-from almanac.sources.folders import list_files, read_lines
+from almanac.sources.folders import read_lines
 from almanac.sources.tables import from_select
 from almanac.sources.textreport import LineRule, parse_lines, read_report
 from almanac.operators.sql import from_sql
@@ -24,14 +24,14 @@ def csv_round_trip(spark, sf):
     path = scratch_path(spark, "csv")
     part = read(spark, sf, "part")
     write_csv(part, path, delimiter=";")
-    return read_csv(spark, path, delimiter=";", multiline=False)
+    return read_csv(spark, path, delimiter=";")
 
 
 def csv_quoted(spark, sf):
     """Texts with line breaks, quotes and commas survive a round trip without header."""
     path = scratch_path(spark, "csv")
     write_csv(read(spark, sf, "documents").select("doc_id", "text", "lang"), path, header=False)
-    back = read_csv(spark, path, header=["id", "body"], infer=False)
+    back = read_csv(spark, path, header=["id", "body"], infer=False, multiline=True)
     return back.select(F.col("id").cast("bigint").alias("id"), "body", "_field_2")
 
 
@@ -124,10 +124,11 @@ def parse_text_files(spark, sf):
 
 
 def parse_text_lines(spark, sf):
-    """The same report as rows of a table; every thousand lines of a file are a block."""
+    """The same report as rows of a table; the orders of a store whose numbers share their thousands are a block."""
     lines = _report_lines(spark, sf)
-    at = F.struct("store", "n")
-    ordered = lines.withColumn("block", F.col("store")).withColumn("line", at)
+    size = F.lit(1000).cast("bigint")
+    number = F.when(F.abs("n") < 2**40, F.call_function("div", F.col("n"), size)).otherwise(F.col("n"))
+    ordered = lines.withColumn("block", F.struct("store", number.alias("part"))).withColumn("line", F.struct("store", "n"))
     return _typed(parse_lines(ordered, HEADER, RULES, "amount"))
 
 
@@ -142,17 +143,13 @@ def parse_documents(spark, sf):
 
 
 def dated_folders(spark, sf):
-    """Orders as text in dated folders, one per status; how many files and lines the latest one has."""
+    """Orders as text in dated folders, one per status; the lines of the latest one."""
     folder = scratch_path(spark, "folders")
     o = read(spark, sf, "orders")
     for day, status in (("2024.01.15", "F"), ("2023.12.31", "O"), ("2024.01.02", "P")):
-        o.where(F.col("o_orderstatus") == status).select("o_orderpriority").coalesce(1).write.text(f"{folder}/{day}")
+        o.where(F.col("o_orderstatus") == status).select("o_orderpriority").write.text(f"{folder}/{day}")
     o.select("o_orderkey").write.json(f"{folder}/notes")
-    lines = read_lines(spark, folder, "latest")
-    named = list_files(spark, folder).agg(F.count(F.lit(1))).scalar()
-    return lines.groupBy(F.col("text").alias("line")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_distinct("file").alias("n_files"), F.any_value(named).alias("n_text_files")
-    )
+    return read_lines(spark, folder, "latest").groupBy(F.col("text").alias("line")).agg(F.count(F.lit(1)).alias("n_lines"))
 
 
 def report_sheets(spark, sf):
@@ -254,7 +251,7 @@ SQL = {
                      regexp_extract(t, '([A-Za-z0-9]+)@([a-z0-9]+)\.example\.', 2) AS host
               FROM h WHERE address AND NOT opens)""",
     "dated_folders": """
-        SELECT o_orderpriority AS line, count(*) AS n_lines, CAST(1 AS BIGINT) AS n_files, CAST(3 AS BIGINT) AS n_text_files
+        SELECT o_orderpriority AS line, count(*) AS n_lines
         FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""",
     "write_report": """
         SELECT 'Data' AS "table", CAST(5 AS BIGINT) AS n_columns, count(*) AS n_rows, 'SELECT * FROM customer' AS note FROM customer

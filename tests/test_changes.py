@@ -5,7 +5,7 @@ from helpers import rows, values
 from pyspark.sql import functions as F
 
 from almanac.operators import dml
-from almanac.operators.sql import report_values, select
+from almanac.operators.sql import from_sql, report_values, select
 from almanac.plans.report import Report, ReportTable, backup_report, read_provenance, run_report, sheet_summary, write_report
 from almanac.session import scratch_path
 from almanac.streaming.inbox import watch
@@ -218,3 +218,11 @@ def test_expired_runs_leave_the_history(spark, database):
     dml.write_table(spark.sql("SELECT DATE'2024-01-01' AS d UNION ALL SELECT DATE'2024-02-01' UNION ALL SELECT NULL"), plain)
     dml.expire(spark, plain, "d", datetime.date(2024, 1, 15))
     assert spark.table(plain).count() == 2
+
+
+def test_views_of_the_caller_stay(spark, keyed):
+    spark.range(3).createOrReplaceTempView("mine")
+    assert rows(select(keyed, "SELECT s FROM mine WHERE k = :k", {"k": 1}, name="mine")) == [("a",)]
+    assert from_sql(spark, "SELECT count(*) AS n FROM MINE", tables={"MINE": keyed}).first().n == keyed.count()
+    assert spark.table("mine").count() == 3
+    spark.catalog.dropTempView("mine")

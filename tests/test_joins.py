@@ -133,3 +133,11 @@ def test_union_ragged(spark):
     )
     narrow = union(right, left)
     assert narrow.columns == ["x", "y", "_field_2"] and narrow.count() == 5
+
+
+def test_union_keeps_text_that_is_no_number(spark):
+    left = spark.createDataFrame([(1, 2)], "a int, b int")
+    right = spark.createDataFrame([("x", "3"), ("", " 4 ")], "a string, b string")
+    got = union(left, right, coerce=True)
+    assert got.dtypes == [("a", "string"), ("b", "double")]
+    assert rows(got) == sorted([("1", 2.0), ("x", 3.0), (None, 4.0)], key=repr)

@@ -128,3 +128,9 @@ def test_regex_and_attachments(spark):
     for spread in (False, True):
         every = R.latest_match(df, r".", "name", "sent", "all", ["id"], spread=spread)
         assert sorted((r.id, r.saved_as) for r in every.collect()) == [(1, "a0.xls"), (2, "b0.xlsx"), (3, "a1.xls"), (4, "c0.txt")]
+
+
+def test_nan_is_not_above_anything(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, float("nan")), (3, 20.0), (4, None)], "id int, v double")
+    for condition, left in (("> 13", [1, 2, 4]), ("< 13", [2, 3]), ("!= 5.0", [1]), ("== 5.0", [2, 3, 4]), (">= 5.0", [2, 4])):
+        assert sorted(r.id for r in R.drop_rows_where(df, [("v", condition)]).collect()) == left, condition

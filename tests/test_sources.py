@@ -38,7 +38,7 @@ def test_csv_cells(spark, tmp_path):
     for sep, quote in ((",", '"'), (";", "'")):
         path = str(tmp_path / f"c{ord(sep)}")
         write_csv(df, path, sep, quote)
-        back = read_csv(spark, path, True, sep, quote)
+        back = read_csv(spark, path, True, sep, quote, multiline=True)
         assert dict(back.dtypes)["id"] == "bigint"
         assert rows(back) == sorted([(i, b, t or None) for i, b, t in data], key=repr)
 
@@ -226,3 +226,18 @@ def test_catalog(spark):
     assert catalog.find_column(cols, "NAME").count() == 1
     assert catalog.table_exists(spark, "cat.one") and not catalog.table_exists(spark, "cat.two")
     assert json.loads(catalog.describe(spark.range(1)).toJSON().first())["column"] == "id"
+
+
+def test_an_empty_latest_folder_counts(spark, tmp_path):
+    for day in ("2024.01.01", "2024.02.01", "notes"):
+        (tmp_path / day).mkdir()
+    (tmp_path / "2024.01.01" / "a.txt").write_text("x")
+    assert folders.choose_folder(spark, str(tmp_path)).endswith("2024.02.01")
+
+
+def test_long_whole_numbers_keep_their_digits(spark):
+    from almanac.operators.typing import apply_types
+
+    df = spark.createDataFrame([("9007199254740993123",), ("1",)], "n string")
+    got = apply_types(df)
+    assert got.dtypes == [("n", "decimal(38,0)")] and sorted(int(r.n) for r in got.collect()) == [1, 9007199254740993123]
