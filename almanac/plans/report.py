@@ -12,6 +12,7 @@ from ..functions.names import unique_names
 from ..operators.dml import flatten_nested, snapshot_append
 from ..operators.joins import MergeRule, merge_plan
 from ..operators.sql import report_sql
+from .dates import date_range_table
 
 Source = Mapping[str, DataFrame] | Callable[[str, Mapping], DataFrame] | DataFrame
 
@@ -68,9 +69,37 @@ def merge_data(tables: Sequence[ReportTable], report: Report) -> list[ReportTabl
     return [ReportTable(df, f"Data{k}", note) for k, (df, note) in enumerate(zip(merged, left))]
 
 
-def run_report(spark: SparkSession, report: Report) -> list[ReportTable]:
-    """Get and merge. Everything is lazy; writing is a separate step."""
-    return merge_data(get_data(spark, report), report)
+def run_report(
+    spark: SparkSession,
+    report: Report,
+    run_datetime=None,
+    sub_task: str = "",
+    history: str | None = None,
+    date_table: bool = False,
+    folder: str | None = None,
+) -> list[ReportTable]:
+    """Get, merge and, where asked for, keep and write.
+
+    ``history``: a database in which each result is appended to its history table with ``run_datetime`` and ``sub_task``.
+    ``date_table`` adds a table with the report's date range and that of last year. ``folder``: where the results and
+    their provenance are written. Getting and merging is lazy; only the last two run jobs, and the tables they wrote are
+    the ones returned.
+    """
+    tables = merge_data(get_data(spark, report), report)
+    if history:
+        names = backup_report(tables, report.name, run_datetime, sub_task, history)
+        now = F.col("run_datetime") == F.lit(run_datetime).cast("timestamp_ntz")
+        for table, name in zip(tables, names):
+            own = spark.table(name).where(now & (F.col("sub_task") == sub_task))
+            table.data = own.select(*table.data.columns)
+    if date_table:
+        dates = date_range_table(spark, report.dates.get("rundate_i"), report.dates.get("rundate_f"))
+        tables.append(ReportTable(dates, "Dates", "date range of the run"))
+    if folder:
+        written = write_report(spark, tables, folder)
+        for table, name in zip(tables, written):
+            table.data = spark.read.parquet(f"{folder}/{name}")
+    return tables
 
 
 def backup_report(tables: Sequence[ReportTable], task: str, run_datetime, sub_task: str = "", database: str | None = None) -> list[str]:

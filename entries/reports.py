@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
 from almanac.operators import clustering, schedule
 from almanac.operators.ordering import rank, sort_by
-from almanac.operators.joins import merge_plan
+from almanac.operators.joins import join, merge_plan
 from almanac.operators.sql import from_sql, report_sql, select
 from almanac.plans.report import Report, run_report
 from almanac.session import scratch_path
 from almanac.sources.tables import from_select
 from almanac.streaming.inbox import watch
 
-from .tables import read
+from .tables import DATABASE, fresh_table, read
 
 
 def _sql(text, *names):
@@ -147,15 +148,21 @@ def earliest_flagged(spark, sf):
     )
 
 
+ITEM_OVERLAP = 10
+
+
 def pair_overlap(spark, sf):
+    """Items with ten words in common: about a third of an item's words, so common words alone do not pair them."""
     sets, _ = clustering.word_sets(read(spark, sf, "benchmark"), "item_id", "text")
-    return clustering.pair_overlap(sets)
+    return clustering.pair_overlap(sets, ITEM_OVERLAP)
 
 
-DOCUMENT_OVERLAP = 400
+DOCUMENT_OVERLAP = 300
 
 
 def pair_overlap_documents(spark, sf):
+    """Documents with 300 words in common. Shorter documents cannot have that many: about a third of them, those of
+    some 500 words and more, can be in a pair at all."""
     sets, _ = clustering.word_sets(read(spark, sf, "documents"), "doc_id", "text")
     return clustering.pair_overlap(sets, DOCUMENT_OVERLAP)
 
@@ -183,11 +190,10 @@ def filtered_stream(spark, sf):
     return spark.read.schema(source.schema).parquet(target)
 
 
-def run_whole_report(spark, sf):
-    """Three sources, two merges, run dates from the data."""
+def _sales_report(spark, sf):
     orders, customer = read(spark, sf, "orders"), read(spark, sf, "customer")
-    report = Report(
-        name="sales",
+    return Report(
+        name=f"sales_{uuid.uuid4().hex[:12]}",
         data=[
             (
                 {"orders": orders},
@@ -204,7 +210,23 @@ def run_whole_report(spark, sf):
         ],
         dates={"rundate_i": datetime.date(1996, 1, 1), "rundate_f": datetime.date(1998, 12, 31)},
     )
-    return run_report(spark, report)[0].data
+
+
+def run_whole_report(spark, sf):
+    """Three sources, two merges, run dates from the data."""
+    return run_report(spark, _sales_report(spark, sf))[0].data
+
+
+def run_report_written(spark, sf):
+    """The same report run twice with history, date table and output folder: what both have kept."""
+    fresh_table(spark, "history")  # makes the database
+    report, folder = _sales_report(spark, sf), scratch_path(spark, "sales")
+    for day in (1, 2):
+        run_report(spark, report, datetime.datetime(2024, 3, day, 6), "weekly", DATABASE, True, f"{folder}/{day}")
+    written = spark.read.parquet(f"{folder}/2/Data0").groupBy("n_name").agg(F.count(F.lit(1)).alias("n_written"), F.sum("n_orders").alias("n_orders"))
+    kept = spark.table(f"{DATABASE}.{report.name}_0").groupBy("n_name").agg(F.count(F.lit(1)).alias("n_kept"), F.count_distinct("run_datetime").alias("n_runs"))
+    dates = spark.read.parquet(f"{folder}/2/Dates").select(F.col("start date ly").alias("last_year"))
+    return join(written, kept, "inner", [("n_name", "n_name")]).withColumn("last_year", dates.scalar())
 
 
 def flagship(spark, sf):
@@ -250,6 +272,7 @@ QUERIES = {
     "hierarchical_clusters": hierarchical_clusters,
     "filter_stream": filtered_stream,
     "run_report": run_whole_report,
+    "run_report_written": run_report_written,
     "ranked_sales": flagship,
 }
 
@@ -319,7 +342,7 @@ SQL = {
                CAST(coalesce(CAST(flag_1 > {_AS_OF} AS INT) + CAST(flag_2 > {_AS_OF} AS INT), 0) AS BIGINT) AS n_ahead
         FROM {_TASKS}""",
     "word_sets": f"WITH {_words('documents', 'doc_id')} SELECT item, set_id FROM members",
-    "pair_overlap": f"WITH {_words('benchmark', 'item_id')} SELECT a, b, overlap FROM pairs",
+    "pair_overlap": f"WITH {_words('benchmark', 'item_id')} SELECT a, b, overlap FROM pairs WHERE overlap >= {ITEM_OVERLAP}",
     "pair_overlap_documents": f"""
         WITH {_words('documents', 'doc_id')} SELECT a, b, overlap FROM pairs WHERE overlap >= {DOCUMENT_OVERLAP}""",
     "max_overlap_groups": f"""
@@ -337,6 +360,12 @@ SQL = {
         FROM (SELECT o_custkey, count(*) AS n_orders, max(o_totalprice) AS top_price FROM orders
               WHERE o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND o_orderstatus <> 'P' GROUP BY 1)
         RIGHT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
+    "run_report_written": """
+        SELECT n_name, count(*) AS n_written, CAST(sum(n_orders) AS BIGINT) AS n_orders, 2 * count(*) AS n_kept,
+               CAST(2 AS BIGINT) AS n_runs, DATE '1995-01-02' AS last_year
+        FROM (SELECT o_custkey, count(*) AS n_orders FROM orders
+              WHERE o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND o_orderstatus <> 'P' GROUP BY 1)
+        RIGHT JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
     "ranked_sales": """
         SELECT o_custkey, revenue, n_orders, c_name, c_nationkey, c_mktsegment, n_name,
                rank() OVER (PARTITION BY n_name, c_mktsegment ORDER BY revenue DESC) AS rank_many_by_revenue_desc
