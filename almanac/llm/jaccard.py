@@ -291,7 +291,10 @@ def _grouped(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     links = links.unionByName(materialize(_linked(pairs, sets), "links"))
     found = materialize(components(links), "components")
     rows = _labelled(members, found.select(F.col("node").alias("x"), F.col("component").alias("label")), sets)
-    pairs = compared(rows, rows, F.col("l.x") < F.col("r.x"))
+    # Of two sets with different labels one does not have the bucket's most frequent label: only those meet all others.
+    often = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"))
+    rows = rows.join(often, "key").withColumn("main", F.col("label") == F.col("most.label")).drop("most")
+    pairs = compared(rows.where(~F.col("main")), rows, F.col("r.main") | (F.col("l.x") < F.col("r.x")))
     last = materialize(_linked(pairs, sets), "links")
     return found if last.isEmpty() else components(links.unionByName(last))
 
