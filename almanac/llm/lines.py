@@ -33,19 +33,22 @@ def _one_edit(a: Column, b: Column) -> Column:
     )
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` kept whole beside what identifies them: id and digest of the text."""
-    return docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("digest"))
+def _ends(w: Column, n: Column) -> Column:
+    """Hashes of a line's first and last words, a little under half of them at each end.
 
+    How many is a step function of the length, taken for the line's own length and for one word less: lines of
+    like length then mostly have it in common, and one edit leaves one of the two ends of both as it is.
+    """
+
+    def share(m: Column) -> Column:
+        half = F.floor((m - 1) / 2).cast("int")
+        drop = F.greatest(F.length(F.bin(half)) - 3, F.lit(0))
+        return F.call_function("shiftleft", F.call_function("shiftright", half, drop), drop)
+
+    def both(g: Column) -> Column:
+        return F.array(F.xxhash64(F.lit(0), g, F.slice(w, F.lit(1), g)), F.xxhash64(F.lit(1), g, F.slice(w, n - g + 1, g)))
 
-def _halves(w: Column, n: Column) -> Column:
-    """Hashes of a line's first and last half, cut as for its own length and for one word less."""
-    keys = []
-    for m in (n, n - 1):
-        p = F.floor(m / 2).cast("int")
-        keys.append(F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), p)))
-        keys.append(F.xxhash64(F.lit(1), m, F.slice(w, F.greatest(n - (m - p) + 1, F.lit(1)), m - p)))
-    return F.array(*keys)
+    return F.flatten(F.transform(F.array_distinct(F.array(share(n), share(n - 1))), both))
 
 
 def _lines(texts: DataFrame) -> DataFrame:
@@ -56,20 +59,20 @@ def _lines(texts: DataFrame) -> DataFrame:
     return lines.select(F.struct("doc_id", "digest", "at").alias("spot"), *both, F.size("w").alias("n"), "w")
 
 
-def neighbours(distinct: DataFrame, texts: DataFrame) -> DataFrame:
+def neighbours(lines: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """``h1, h2, earlier``: the earliest other line within one word edit, for lines that have an earlier one.
 
-    ``distinct`` has ``h1, h2, first, halves``, one row per line; ``texts`` is where their words are. Every line emits the hashes of itself
+    ``lines`` has ``h1, ends`` of all lines that may be edited, ``distinct`` has ``h1, h2, first``, one row per line; ``texts`` is where
+    their words are. Every line emits the hashes of itself
     and of itself without each of its words; lines within one edit share such a key (with the same place left out, if a word is
     replaced). All lines of a key are within one edit of its earliest, so keys need an aggregate and no pairs. Only lines that
-    share a half with another one emit their variants: one edit leaves the first or the last half of both as it is. Only the texts
+    share an end with another one emit their variants: one edit leaves one of the ends of both as it is. Only the texts
     that such lines are in are read again, and words never move, only hashes.
     """
-    keys = distinct.select("h1", "h2", F.explode("halves").alias("k"))
-    digest = F.struct("h1", "h2")
-    shared = keys.groupBy("k").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("k")
-    found = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
-    candidates = materialize(distinct.select("h1", "h2", "first").join(found, ["h1", "h2"]), "candidates")
+    keys = lines.where(F.col("ends").isNotNull()).select("h1", F.explode("ends").alias("k"))
+    shared = keys.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
+    found = keys.join(shared, "k", "left_semi").select("h1").distinct()
+    candidates = materialize(distinct.select("h1", "h2", "first").join(found, "h1", "left_semi"), "candidates")
     where = candidates.select(F.col("first.doc_id").alias("id"), F.col("first.digest").alias("d")).distinct()
     some = texts.join(where, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left_semi")
     rows = _lines(some).join(candidates, ["h1", "h2"]).where(F.col("spot") == F.col("first"))
@@ -108,14 +111,13 @@ def neighbours(distinct: DataFrame, texts: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     """``doc_id, digest, removed``: the line numbers to take out of each text that has any."""
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    halves = F.when(F.col("n") >= edit_words, _halves(F.col("w"), F.col("n")))
-    every = materialize(_lines(texts).select("spot", "h1", "h2", halves.alias("halves")), "lines")
-    distinct = every.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.max("spot").alias("last"), F.first("halves").alias("halves"))
-    distinct = materialize(distinct, "lines")
-    near = neighbours(distinct.where(F.col("halves").isNotNull()), texts)
-    ends = distinct.select("h1", "h2", "first", "last").join(near, ["h1", "h2"], "left")
-    keep = ends.select("h1", "h2", "last", F.least("first", F.coalesce("earlier", "first")).alias("keep")).where(F.col("last") > F.col("keep"))
-    spots = every.select("spot", "h1", "h2").join(keep.select("h1", "h2", "keep"), ["h1", "h2"]).where(F.col("spot") > F.col("keep"))
+    ends = F.when(F.col("n") >= edit_words, _ends(F.col("w"), F.col("n")))
+    every = materialize(_lines(texts).select("spot", "h1", "h2", ends.alias("ends")), "lines")
+    distinct = materialize(every.groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.count("*").alias("c")), "lines")
+    near = neighbours(every, distinct, texts)
+    known = distinct.join(near, ["h1", "h2"], "left").where((F.col("c") > 1) | F.col("earlier").isNotNull())
+    keep = known.select("h1", "h2", F.least("first", F.coalesce("earlier", "first")).alias("keep"))
+    spots = every.select("spot", "h1", "h2").join(keep, ["h1", "h2"]).where(F.col("spot") > F.col("keep"))
     return spots.groupBy("spot.doc_id", "spot.digest").agg(F.array_sort(F.collect_set("spot.at")).alias("removed"))
 
 
@@ -129,8 +131,9 @@ def dedup_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     order of columns and other columns are kept as they are; an empty table gives no rows.
     """
     removed = repeated_lines(docs, edit_words).select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "removed")
-    joined = _texts(docs).join(removed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
-    joined = joined.withColumn("lines", F.split("text", "\n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("digest"))
+    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
+    joined = joined.select("row", "removed", F.col("row.text").alias("text")).withColumn("lines", F.split("text", "\n"))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     kept = F.transform(F.array_except(places, F.col("removed")), lambda i: F.get(F.col("lines"), i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
