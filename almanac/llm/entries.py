@@ -91,3 +91,44 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+#: Sources are hosts; the prior over their failure rates is fitted by moments.
+SQL["op1_quality_rules"] = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+p AS (SELECT k, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+n AS (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS n FROM p),
+r AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM n WHERE n > 1) GROUP BY k),
+m AS (SELECT k, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN r USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 3 * n_dup_lines > n_lines AS failed FROM b),
+h AS (SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS bad FROM f GROUP BY source),
+q AS (SELECT sum(bad) / sum(n) AS m, coalesce(var_samp(bad / n), 0) AS spread, avg(1 / n) AS inverse FROM h),
+s AS (SELECT m, greatest(m * (1 - m) / greatest(spread - m * (1 - m) * inverse, 1e-6) - 1, 1) AS s FROM q),
+v AS (SELECT source, (bad + m * s) / (n + s) > 0.5 AS refused FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT refused AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+#: Ids are unique here, so a place is an id and a line number.
+SQL["op10_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+n AS (SELECT doc_id, line, pos, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
+d AS (SELECT w, min((doc_id, pos)) AS first FROM n WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT row_number() OVER () AS k, w, first FROM d WHERE len(w) >= 8),
+x AS (SELECT k, first, i, array_to_string(list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, len(w))), ' ') AS v FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM e)),
+y AS (SELECT k, first, array_to_string(w, ' ') AS v FROM e),
+z AS (SELECT k, min(first) OVER (PARTITION BY v, i) AS near FROM x
+      UNION ALL SELECT x.k, y.first FROM x JOIN y USING (v) UNION ALL SELECT y.k, x.first FROM x JOIN y USING (v)),
+o AS (SELECT e.w, least(any_value(e.first), min(near)) AS keep FROM e JOIN z USING (k) GROUP BY e.w),
+g AS (SELECT n.*, len(n.w) > 0 AND (doc_id, pos) > coalesce(o.keep, d.first) AS gone FROM n LEFT JOIN d USING (w) LEFT JOIN o USING (w))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
+       count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed
+FROM g GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
+"""
