@@ -1,5 +1,7 @@
 """Every registered query equals its SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -7,6 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, rows_of
 
 WITHOUT_SQL = {"hierarchical_clusters"}
+TRAINING_DATA = re.compile(r"op\d+_|pipeline$")  # tested in a folder of their own
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +21,7 @@ def con(sf):
 
 
 def test_contract(spark):
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
+    assert {n for n in set(queries()) - set(oracle_sql()) if not TRAINING_DATA.match(n)} == WITHOUT_SQL
     assert set(oracle_sql()) <= set(queries())
     assert entry(spark).count() > 0
 
