@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.common import words
+from almanac.operators.ordering import with_position
 from almanac.session import materialize
 
 #: Lines of at least this many words may differ by one word and still count as the same.
@@ -51,9 +52,15 @@ def _ends(w: Column, n: Column) -> Column:
     return F.flatten(F.transform(F.array_distinct(F.array(share(n), share(n - 1))), both))
 
 
-def _lines(texts: DataFrame) -> DataFrame:
-    """Lines that have a word: ``spot`` (where they are), two digests of their lower-cased words, ``n`` and the words ``w``."""
-    lines = texts.where(F.col("text").isNotNull()).select("doc_id", "digest", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+def _lines(texts: DataFrame, only: str | None = None) -> DataFrame:
+    """Lines that have a word: ``spot`` (where they are), two digests of their lower-cased words, ``n`` and the words ``w``.
+
+    ``only`` names a column with the line numbers that are wanted.
+    """
+    more = [only] if only else []
+    lines = texts.where(F.col("text").isNotNull()).select("doc_id", "digest", *more, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    if only:
+        lines = lines.where(F.array_contains(only, F.col("at")))
     lines = lines.withColumn("w", _line_words(F.col("line"))).where(F.size("w") > 0)
     both = [F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")]
     return lines.select(F.struct("doc_id", "digest", "at").alias("spot"), *both, F.size("w").alias("n"), "w")
@@ -73,17 +80,18 @@ def neighbours(lines: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataF
     shared = keys.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
     found = keys.join(shared, "k", "left_semi").select("h1").distinct()
     candidates = materialize(distinct.select("h1", "h2", "first").join(found, "h1", "left_semi"), "candidates")
-    where = candidates.select(F.col("first.doc_id").alias("id"), F.col("first.digest").alias("d")).distinct()
-    some = texts.join(where, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left_semi")
-    rows = _lines(some).join(candidates, ["h1", "h2"]).where(F.col("spot") == F.col("first"))
-    rows = materialize(rows.groupBy("h1", "h2").agg(F.first("first").alias("first"), F.first("n").alias("n"), F.first("w").alias("w")), "candidates")
+    where = candidates.groupBy(F.col("first.doc_id").alias("id"), F.col("first.digest").alias("d")).agg(F.collect_set("first.at").alias("ats"))
+    some = texts.join(where, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).select("doc_id", "digest", "text", "ats")
+    rows = _lines(some, only="ats").groupBy("h1", "h2").agg(F.min("spot").alias("first"), F.first("n").alias("n"), F.first("w").alias("w"))
+    # From here on a line is its number in the order of first places.
+    rows = materialize(with_position(rows, ["first", "h1", "h2"], "id"), "candidates")
     # Hashes of all words but one, from running XORs over the line.
-    each = rows.select("h1", "h2", "n", "first", F.posexplode("w").alias("i", "word"))
-    each = each.select("h1", "h2", "n", "first", "i", F.xxhash64("word", "i").alias("own"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
-    line = Window.partitionBy("h1", "h2")
+    each = rows.select("id", "n", F.posexplode("w").alias("i", "word"))
+    each = each.select("id", "n", "i", F.xxhash64("word", "i").alias("own"), F.xxhash64("word", F.col("i") - 1).alias("moved"))
+    line = Window.partitionBy("id")
     so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = each.select(
-        "h1", "h2", "n", "first", "i", "own",
+        "id", "n", "i", "own",
         F.bit_xor("own").over(so_far).alias("upto"), F.bit_xor("moved").over(so_far).alias("moved_upto"),
         F.bit_xor("moved").over(line).alias("moved_all"), F.bit_xor("own").over(line).alias("whole"),
     )
@@ -91,21 +99,20 @@ def neighbours(lines: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataF
     variant = F.struct((F.col("n") - 1).alias("m"), rest.alias("v"), F.col("i").alias("i"))
     full = F.struct(F.col("n").alias("m"), F.col("whole").alias("v"), F.lit(-1).alias("i"))
     made = F.when(F.col("i") == 0, F.array(variant, full)).otherwise(F.array(variant))
-    made = materialize(each.select("first", "h1", "h2", F.explode(made).alias("x")).select("first", "h1", "h2", "x.*"), "variants")
-    best = F.min(F.struct("first", "h1", "h2"))
-    by_place = made.groupBy("m", "v", "i").agg(best.alias("best"), F.count("*").alias("c"))
-    replaced = by_place.where("i >= 0 AND c > 1").select("m", "v", "i", "best")
-    longer = by_place.groupBy("m", "v").agg(F.min(F.when(F.col("i") < 0, F.col("best"))).alias("full"), F.min(F.when(F.col("i") >= 0, F.col("best"))).alias("cut"))
-    longer = longer.where("full IS NOT NULL AND cut IS NOT NULL").select("m", "v", "full", "cut")
-    met = made.join(replaced, ["m", "v", "i"]).select("first", "h1", "h2", "best").unionByName(
-        made.join(longer, ["m", "v"]).select("first", "h1", "h2", F.when(F.col("i") < 0, F.col("cut")).otherwise(F.col("full")).alias("best"))
-    )
-    met = met.where(F.col("best.first") < F.col("first")).groupBy("h1", "h2").agg(F.min("best").alias("best"))
+    made = materialize(each.select("id", F.explode(made).alias("x")).select("id", "x.*"), "variants")
+    # The earliest line of each key: with the same word left out, of those a word longer, and the line that is left.
+    by_place = made.groupBy("m", "v", "i").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    one, other = F.when(F.col("i") < 0, F.col("low")), F.when(F.col("i") >= 0, F.col("low"))
+    places = F.collect_list(F.when((F.col("i") >= 0) & (F.col("low") < F.col("high")), F.struct("i", "low")))
+    keyed = by_place.groupBy("m", "v").agg(F.min(one).alias("full"), F.min(other).alias("cut"), places.alias("same"))
+    keyed = keyed.where("size(same) > 0 OR (full IS NOT NULL AND cut IS NOT NULL)")
+    own_place = F.get(F.filter("same", lambda s: s["i"] == F.col("i")), F.lit(0))["low"]
+    best = F.when(F.col("i") < 0, F.col("cut")).otherwise(F.least(own_place, "full"))
+    met = made.join(keyed, ["m", "v"]).select("id", best.alias("best")).where("best < id").groupBy("id").agg(F.min("best").alias("best"))
     # A hash only proposes; the words decide.
-    ours = rows.select("h1", "h2", F.col("w").alias("mine"))
-    theirs = rows.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("w").alias("other"))
-    proposed = met.select("h1", "h2", F.col("best.h1").alias("g1"), F.col("best.h2").alias("g2"), F.col("best.first").alias("earlier"))
-    return proposed.join(ours, ["h1", "h2"]).join(theirs, ["g1", "g2"]).where(_one_edit(F.col("mine"), F.col("other"))).select("h1", "h2", "earlier")
+    theirs = rows.select(F.col("id").alias("best"), F.col("w").alias("other"), F.col("first").alias("earlier"))
+    checked = met.join(rows, "id").join(theirs, "best").where(_one_edit(F.col("w"), F.col("other")))
+    return checked.select("h1", "h2", "earlier")
 
 
 def repeated_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
