@@ -100,6 +100,9 @@ def neighbours(lines: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataF
     full = F.struct(F.col("n").alias("m"), F.col("whole").alias("v"), F.lit(-1).alias("i"))
     made = F.when(F.col("i") == 0, F.array(variant, full)).otherwise(F.array(variant))
     made = materialize(each.select("id", F.explode(made).alias("x")).select("id", "x.*"), "variants")
+    # Most keys are one line's own.
+    common = made.groupBy("m", "v").agg(F.count("*").alias("c")).where("c > 1").select("m", "v")
+    made = materialize(made.join(common, ["m", "v"], "left_semi"), "variants")
     # The earliest line of each key: with the same word left out, of those a word longer, and the line that is left.
     by_place = made.groupBy("m", "v", "i").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     one, other = F.when(F.col("i") < 0, F.col("low")), F.when(F.col("i") >= 0, F.col("low"))
