@@ -157,27 +157,29 @@ def learn_words(texts: list[str], toxic: list[int]) -> tuple[dict[str, float], d
     return whole, begin
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    """Newton steps; the last coefficient is the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
+    """Newton steps over weighted rows; the last coefficient is the constant."""
     x = np.c_[x, np.ones(len(x))]
     coef = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        coef += np.linalg.solve(h, x.T @ (y - p) - ridge * coef)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        coef += np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * coef)
     return coef
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean_rows: int = TRAIN_CLEAN) -> Grammar | None:
     """Learn weights from a bounded sample: about ``toxic_rows`` and ``clean_rows`` labelled rows, chosen by a hash.
 
-    One half of the sample gives the words, the other half the logistic layer. Held-out rows, null
-    labels and null texts are not used. Nothing to learn from: None.
+    One half of the sample gives the words, the other half the logistic layer. There a row counts as many times as
+    rows of its class stand behind each sampled one, so the layer sees the class mix of all rows that may be learned
+    from, whatever the caps. Held-out rows, null labels and null texts are not used. Nothing to learn from: None.
     """
     marks = labels.where(F.col("toxic").isNotNull() & may_learn()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = [hashed_share(marks.where(F.col("toxic") == k), counts.get(k, 0), most, "doc_id") for k, most in ((1, toxic_rows), (0, clean_rows))]
+    caps = {1: toxic_rows, 0: clean_rows}
+    picked = [hashed_share(marks.where(F.col("toxic") == k), counts.get(k, 0), most, "doc_id") for k, most in caps.items()]
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     rows = sorted((r.text, r.toxic) for r in texts.join(picked[0].unionByName(picked[1]), "doc_id").select("text", "toxic").collect())
     y = [t for _, t in rows]
@@ -188,9 +190,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean
     draft = blank._replace(whole=whole, begin=begin, lengths=tuple(sorted({len(k) for k in begin}, reverse=True)))
     memo: dict = {}
     x = np.array([features(draft, t, memo) for t, _ in rows[1::2]])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    prior = np.array(y[1::2], dtype=float)
-    return draft._replace(mean=mean, scale=scale, coef=logistic((x - mean) / scale, prior))
+    target = np.array(y[1::2], dtype=float)
+    stands_for = {k: max(1.0, counts.get(k, 0) / most) for k, most in caps.items()}
+    weight = np.array([stands_for[t] for t in y[1::2]])
+    weight /= weight.mean()  # the ridge keeps its strength
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)) + 1e-9
+    return draft._replace(mean=mean, scale=scale, coef=logistic((x - mean) / scale, target, weight))
 
 
 def score(docs: DataFrame, grammar: Grammar | None, threshold: float = THRESHOLD) -> DataFrame:

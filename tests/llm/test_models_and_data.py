@@ -90,6 +90,18 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out for r in got)
 
 
+def test_toxicity_scores_do_not_follow_the_caps(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi").cache()
+
+    def mean_score(**caps):
+        return toxicity.score(labelled, toxicity.fit(docs, labels, **caps)).agg(F.avg("score")).first()[0]
+
+    share = labels.agg(F.avg("toxic")).first()[0]
+    whole, few = mean_score(), mean_score(toxic_rows=250, clean_rows=500)
+    assert abs(whole - share) < 0.2 * share and abs(few - whole) < 0.2 * whole, (share, whole, few)
+
+
 def test_toxicity_grammar():
     grammar = toxicity.Grammar({"fool": 2.0}, {"stupi": 1.5}, (5,), np.zeros(4), np.ones(4), np.zeros(5))
 
