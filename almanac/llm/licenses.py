@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +80,10 @@ TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
     ),
 ]
 
+#: Lines that copies fill in with a year and a name, so that they become copyright lines.
+BLANK_COPYRIGHT = re.compile(r"(?m)^.*\[yyyy\].*\n?")
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
 #: A line with a year or a mark that only says who holds the copyright says nothing about the terms.
 COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*((copyright|©|\(c\))[^\p{L}\p{N}]*)+(\(c\)|©|\d{4}|by ).*$"
 #: A longer list of known licenses is joined by shuffling instead of being sent to every task.
@@ -96,13 +105,41 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), canonical_line), lambda x: x != "")
 
 
+def whole_text(lines: Column) -> Column:
+    """The canonical lines as one text; words of two parts get their one spelling across line ends too."""
+    text = F.array_join(lines, " ")
+    parts = {old: new for old, new in SPELLINGS.items() if " " in old}
+    one = text
+    for old, new in parts.items():
+        one = F.regexp_replace(one, rf"\b{old}\b", new)
+    return F.when(text.rlike(rf"\b(?:{'|'.join(parts)})\b"), one).otherwise(text)
+
+
+def license_texts() -> Iterator[tuple[str, str]]:
+    """Whole license texts of licenses.json as copies have them.
+
+    With each title and without one, with the instructions behind the terms and without them, with blank copyright
+    lines and without them, with links by either protocol.
+    """
+    for row in json.loads(files(__package__).joinpath("licenses.json").read_text(encoding="utf-8")):
+        bodies = [row["text"]]
+        if TERMS_END in row["text"]:
+            terms = row["text"].partition(TERMS_END)[0]
+            bodies += [terms, terms + TERMS_END]
+        bodies += [BLANK_COPYRIGHT.sub("", b) for b in bodies]
+        bodies += [b.replace("https://", "http://") for b in bodies] + [b.replace("http://", "https://") for b in bodies]
+        for body in dict.fromkeys(bodies):
+            for title in ("", *row["titles"]):
+                yield row["license"], f"{title}\n{body}"
+
+
 def digest(canonical: Column) -> Column:
     return F.sha2(canonical, 256)
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """``digest, license`` of ``license, text`` rows; of licenses with the same canonical text the first by name."""
-    whole = F.array_join(canonical_lines(F.col("text")), " ")
+    whole = whole_text(canonical_lines(F.col("text")))
     rows = known.where(F.col("text").isNotNull()).select("license", whole.alias("c")).where("c <> ''")
     return rows.groupBy(digest(F.col("c")).alias("digest")).agg(F.min("license").alias("license"))
 
@@ -114,17 +151,18 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     known ones (by name, with commas) that entire lines equal, ``n_license_lines`` the number of such lines. Null, empty
     and blank texts, and texts of copyright lines only, match nothing: null, an empty text and 0. Repeated rows get
     the same result each; null ids are kept; an empty table gives no rows; other columns are not looked at. ``known`` has
-    ``license, text``.
+    ``license, text``; by default it is the notices of ``KNOWN`` and the whole texts of ``license_texts``.
     """
     spark = docs.sparkSession
     few = known is None
-    known = spark.createDataFrame(KNOWN, "license string, text string") if few else known
+    texts = [*KNOWN, *license_texts()] if few else []
+    known = spark.createDataFrame(texts, "license string, text string") if few else known
     digests = known_digests(known)
-    if few and len(KNOWN) <= BROADCAST_KNOWN:
+    if few and len(texts) <= BROADCAST_KNOWN:
         digests = F.broadcast(digests)
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     lines = rows.where(F.col("text").isNotNull()).withColumn("c", canonical_lines(F.col("text"))).where(F.size("c") > 0)
-    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest(F.array_join("c", " ")).alias("digest"))), F.transform("c", lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest"))))
+    units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), digest(whole_text(F.col("c"))).alias("digest"))), F.transform("c", lambda x: F.struct(F.lit(False).alias("whole"), digest(x).alias("digest"))))
     hits = lines.select("doc_id", "mark", F.explode(units).alias("u")).select("doc_id", "mark", "u.*").join(digests, "digest")
     copies = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("copies"))
     found = hits.groupBy("doc_id", "mark").agg(

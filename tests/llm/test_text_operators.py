@@ -1,7 +1,9 @@
 """Quality rules, token counts, licenses, lines and the Jaccard join against plain Python."""
 
+import json
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -161,6 +163,24 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_licenses_whole_texts_with_and_without_titles(spark):
+    common = Path("/usr/share/common-licenses")
+    files = {f: (common / f).read_text() for f in ("Apache-2.0", "Artistic", "BSD", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0")}
+    names = {"Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"} | {f: re.sub(r"^(\w+-\d)$", r"\1.0", f) + "-only" for f in files if f.startswith("G") or f.startswith("L")}
+    cases = [(names.get(f, f), t) for f, t in files.items()]
+    cases.append(("Apache-2.0", files["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Somebody")))
+    cases.append(("Apache-2.0", files["Apache-2.0"].split("APPENDIX")[0]))
+    cases.append(("MIT", Path(public_tokenizers.__file__).with_name("LICENSES.txt").read_text().partition(":\n")[2].partition("\n\nword_bpe")[0]))
+    for row in json.loads(Path(licenses.__file__).with_name("licenses.json").read_text()):
+        for title in ("", *row["titles"]):
+            cases.append((row["license"], f"{title}\n\nCopyright (c) 2020 Somebody\n\n{row['text']}"))
+        if len(row["text"]) < 2_000:  # no copyright lines in it; line ends elsewhere, also inside of words of two parts
+            cases.append((row["license"], "\n".join(row["text"].split())))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.text_license for r in licenses.scan(df).collect()}
+    assert len(got) == len(cases) and [(name, got[i], t[:90]) for i, (name, t) in enumerate(cases) if got[i] != name] == []
+
+
 def within_one_edit(a, b):
     if a == b:
         return True
