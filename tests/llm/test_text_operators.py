@@ -281,6 +281,14 @@ def test_jaccard_join(docs):
     assert sum(a != c for a, _, c in got) > 20
 
 
+def test_one_per_group_keeps_the_smallest_id_of_each_component(docs):
+    model = jaccard_model([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    want = sorted(i for i, n, c in model if n == 0 or i == c)
+    assert len(want) == len({c for _, n, c in model if n}) + sum(n == 0 for _, n, _ in model) < len(model) - 20
+    kept = jaccard.one_per_group(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+
+
 def test_jaccard_odd_rows(odd, empty):
     check_jaccard(odd)
     assert jaccard.join_similar(empty).collect() == []
