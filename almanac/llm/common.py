@@ -31,9 +31,14 @@ def words(text: Column) -> Column:
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SEPARATOR_RUN))
 
 
+def id_number(doc_id: str = "doc_id") -> Column:
+    """crc32 of the id's text; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary"))
+
+
 def quarter(doc_id: str = "doc_id") -> Column:
     """crc32 of the id's text, modulo 4; the rows with 2 are held out from learning."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+    return id_number(doc_id) % 4
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import jaccard, language, licenses, lines, mixing, packing, quality, token_counts, topk, toxicity
+from almanac.llm import exact, jaccard, language, licenses, lines, merkle, mixing, packing, periods, quality, token_counts, topk, toxicity
+from almanac.llm.common import id_number, words
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,6 +66,51 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = exact.mark_copies(_documents(spark, folder))
+    digest = F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256")
+    return done.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", digest)
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in one of ten texts the words from some place on repeat the first of them.
+
+    Its words are then those of the contract, with one space between them.
+    """
+    h = id_number()
+    split = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    n, g = F.size("w"), F.expr("h div 10")
+    start = F.when(n > 0, g % n).cast("int")
+    sized = split.select("doc_id", "text", "w", n.alias("n"), g.alias("g"), start.alias("a"))
+    period = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    placed = sized.select("doc_id", "text", "w", "n", "a", period.alias("p"))
+    at = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    repeated = F.array_join(F.transform(at, lambda i: F.get("w", i)), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(_with_repeats(_documents(spark, folder)))
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"),
+        lambda a, x: F.when(a.isNull() | (x["length"] * a["period"] > a["length"] * x["period"]), x).otherwise(a),
+    )
+    lines_of_runs = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    hashes = [F.sha2(F.array_join(lines_of_runs, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")]
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), *hashes)
+    return rows.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of the documents; a third of them is checked with a changed text."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    presented = {"text": F.when(id_number() % 3 == 0, lower).otherwise(F.col("text"))}
+    rows = merkle.manifest(_documents(spark, folder), presented=presented)
+    proof = F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256")
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +122,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_topk": op9_exact_topk,
     "op10_line_dedup": op10_line_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 SQL: dict[str, str] = {}
@@ -132,3 +181,62 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT
 FROM g GROUP BY doc_id
 UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
+
+SQL["op11_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+#: crc32, bit by bit, of the decimal digits of an id.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda s, v: xor(xor(s, v) >> 1, (xor(s, v) & 1) * 3988292384)))"""
+
+
+def _manifest_sql(tree_levels: int = 8, top_levels: int = 4) -> str:
+    """SQL for trees of at most 8 ** 8 leaves, and 8 ** 4 of them: each level and each step of a proof is written out."""
+
+    def hashed(text: str) -> str:
+        parts = [*(f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")), text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+    changed = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"""WITH d AS (SELECT doc_id, coalesce('+' || lang, '-') AS g, lang, {hashed('text')} AS leaf, CASE WHEN {_CRC32} % 3 = 0 THEN {hashed(changed)} ELSE {hashed('text')} END AS shown FROM documents)""",
+        "p0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+        "n0 AS (SELECT g, any_value(lang) OVER (PARTITION BY g) AS lang, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p0)",
+        "f0 AS (SELECT g, lang, doc_id, leaf, i, shown AS h, '' AS proof FROM p0)",
+    ]
+
+    def level(k: int) -> None:
+        run = "n.g = o.g AND n.i // 8 = o.i // 8 AND n.i <> o.i"
+        steps.append(
+            f"""s{k} AS (SELECT n.g, n.i, n.n, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE o.i < n.i), '') AS b,
+            coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (WHERE o.i > n.i), '') AS e FROM n{k} n LEFT JOIN n{k} o ON {run} GROUP BY n.g, n.i, n.n)"""
+        )
+        steps.append(
+            f"""f{k + 1} AS (SELECT f.g, lang, doc_id, leaf, CASE WHEN n > 1 THEN f.i // 8 ELSE f.i END AS i, CASE WHEN n > 1 THEN sha256(b || f.h || e) ELSE f.h END AS h, proof || b || e AS proof
+            FROM f{k} f JOIN s{k} s ON f.g = s.g AND f.i = s.i)"""
+        )
+        steps.append(
+            f"""n{k + 1} AS (SELECT g, any_value(lang) AS lang, CASE WHEN n > 1 THEN i // 8 ELSE i END AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY n{k}.i)) ELSE any_value(h) END AS h,
+            (any_value(n) + 7) // 8 AS n FROM n{k} GROUP BY g, n, CASE WHEN n > 1 THEN i // 8 ELSE i END)"""
+        )
+
+    for k in range(tree_levels):
+        level(k)
+    t = tree_levels
+    steps += [
+        f"r AS (SELECT g, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM n{t})",
+        f"n{t + 1} AS (SELECT 0 AS g, NULL AS lang, i, h, n FROM r)",
+        f"f{t + 1} AS (SELECT 0 AS g, lang, doc_id, leaf, r.i, f.h, proof, r.h AS subroot FROM f{t} f JOIN r ON f.g = r.g)",
+    ]
+    for k in range(t + 1, t + 1 + top_levels):
+        level(k)
+        steps[-2] = steps[-2].replace("doc_id, leaf,", "doc_id, leaf, subroot,")
+    t += 1 + top_levels
+    return ", ".join(steps) + f"""
+SELECT doc_id, leaf, subroot, n.h AS root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = n.h AS verified FROM f{t} f, n{t} n"""
+
+
+SQL["op13_merkle_manifest"] = _manifest_sql()
