@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import words
+from almanac.llm.common import SEPARATORS
 from almanac.operators.ordering import with_position
 from almanac.session import materialize
 
@@ -13,8 +13,13 @@ from almanac.session import materialize
 EDIT_WORDS = 8
 
 
-def _line_words(line: Column) -> Column:
-    return words(F.lower(line))
+def _spaced(text: Column) -> Column:
+    """The text in lower case, with spaces for all separators but line ends: its lines then split at single characters."""
+    text = F.lower(text)
+    for separator in SEPARATORS:
+        if separator not in " \n":
+            text = F.replace(text, F.lit(separator), F.lit(" "))
+    return text
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -58,10 +63,10 @@ def _lines(texts: DataFrame, only: str | None = None) -> DataFrame:
     ``only`` names a column with the line numbers that are wanted.
     """
     more = [only] if only else []
-    lines = texts.where(F.col("text").isNotNull()).select("doc_id", "digest", *more, F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = texts.where(F.col("text").isNotNull()).select("doc_id", "digest", *more, F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("at", "line"))
     if only:
         lines = lines.where(F.array_contains(only, F.col("at")))
-    lines = lines.withColumn("w", _line_words(F.col("line"))).where(F.size("w") > 0)
+    lines = lines.withColumn("w", F.array_remove(F.split("line", " "), "")).where(F.size("w") > 0)
     both = [F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")]
     return lines.select(F.struct("doc_id", "digest", "at").alias("spot"), *both, F.size("w").alias("n"), "w")
 
