@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import id_type, python_tasks
@@ -17,6 +19,8 @@ from almanac.session import materialize
 
 SEQUENCE = 2048
 GROUP_PIECES = 20_000
+#: The fast encoder's pattern search gives up in very long runs of white space.
+LONG_TEXT, LONG_SPACE = 50_000, re.compile(r"\s{5000}")
 
 
 @functools.lru_cache(maxsize=2)
@@ -24,8 +28,8 @@ def encoder(vocabulary: str, ranks: str, pattern: str):
     """A function from text to token ids, made once in each Python worker.
 
     ``ranks`` holds the same vocabulary as ``vocabulary``; encoding by ranks gives the same ids
-    several times faster. Only texts that spell a special token go through the other library,
-    which gives that token its own id.
+    several times faster. Only texts that spell a special token, to which the other library gives its
+    own id, and texts with a very long run of white space go through that library.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -37,7 +41,7 @@ def encoder(vocabulary: str, ranks: str, pattern: str):
     special = [t.content for t in exact.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) > LONG_TEXT and LONG_SPACE.search(text)):
             return exact.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -111,7 +115,7 @@ def pack(
 
     A document is the ids of its whole text and ``end_id``; a null text counts as empty and is
     one id. Documents are cut into full sequences and one rest. Pieces are dealt at random (by a
-    hash, so reruns agree) into groups of about ``group_pieces``, and each group is packed by
+    hash, so reruns agree; equal pieces by their row) into groups of about ``group_pieces``, and each group is packed by
     itself. Only piece records are shuffled, never ids. Repeated rows are packed as often as they
     occur; null ids are kept; an empty table gives no rows; other columns are not looked at.
     """
@@ -130,5 +134,12 @@ def pack(
         )
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(7)), F.lit(groups)).cast("long"))
+    piece = ["doc_id", "start", "ids_crc32"]
+    repeated = pieces.groupBy(*piece).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(c).alias(f"same_{c}") for c in piece))
+    numbered = pieces.withColumn("row", F.monotonically_increasing_id())
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"same_{c}")) for c in piece])
+    # Equal pieces are dealt one by one, others by what they are.
+    number = F.when(F.col("same_start").isNotNull(), F.col("row"))
+    dealt = numbered.join(repeated, same, "left").withColumn("group", F.pmod(F.xxhash64(*piece, F.lit(7), number), F.lit(groups)).cast("long"))
+    dealt = dealt.select(*out, "group")
     return dealt.groupBy("group").applyInArrow(run, kinds)
