@@ -84,12 +84,27 @@ TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 BLANK_COPYRIGHT = re.compile(r"(?m)^.*\[yyyy\].*\n?")
 TERMS_END = "END OF TERMS AND CONDITIONS"
 
-#: A line with a year or a mark that only says who holds the copyright says nothing about the terms.
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}©(]*((copyright|©|\(c\))[^\p{L}\p{N}]*)+(\(c\)|©|\d{4}|by ).*$"
+#: Before the first mark of a copyright line, and between its marks, there are no letters and numbers.
+BEFORE_MARK, BETWEEN = r"^[^\p{L}\p{N}©(]*", r"[^\p{L}\p{N}]*"
 #: A longer list of known licenses is joined by shuffling instead of being sent to every task.
 BROADCAST_KNOWN = 10_000
 
 
+def is_copyright_line(low: Column) -> Column:
+    """Whether a lower-case line only says who holds the copyright, and nothing about the terms.
+
+    It begins with one or more marks ("copyright", "(c)", "©"), of which the last is "(c)" or "©" where there are several, or a
+    year or "by" follows. Marks are counted without a repeated group, whose depth would grow with the line.
+    """
+    signs = F.replace(low, F.lit("(c)"), F.lit("©"))
+    alike = F.replace(signs, F.lit("copyright"), F.lit("©"))
+    bare = F.replace(signs, F.lit("copyright"), F.lit(" "))
+    followed = alike.rlike(rf"{BEFORE_MARK}©{BETWEEN}(\d{{4}}|by )")
+    word_first = signs.rlike(rf"{BEFORE_MARK}copyright") & bare.rlike(rf"^{BETWEEN}©")
+    sign_first = signs.rlike(rf"{BEFORE_MARK}©") & bare.rlike(rf"^{BETWEEN}©{BETWEEN}©")
+    return F.when(alike.contains("©"), followed | word_first | sign_first).otherwise(False)
+
+
 def canonical_line(line: Column) -> Column:
     """Lower case, words and numbers only, one space between them, one spelling; empty for copyright lines."""
     low = F.lower(line)
@@ -98,7 +113,7 @@ def canonical_line(line: Column) -> Column:
     for old, new in SPELLINGS.items():
         one = F.regexp_replace(one, rf"\b{old}\b", new)
     spelled = F.when(plain.rlike(rf"\b(?:{'|'.join(SPELLINGS)})\b"), one).otherwise(plain)
-    return F.when(low.rlike(COPYRIGHT_LINE), F.lit("")).otherwise(spelled)
+    return F.when(is_copyright_line(low), F.lit("")).otherwise(spelled)
 
 
 def canonical_lines(text: Column) -> Column:
