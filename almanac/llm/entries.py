@@ -67,9 +67,9 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    done = exact.mark_copies(_documents(spark, folder))
-    digest = F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256")
-    return done.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", digest)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    done = exact.mark_copies(_documents(spark, folder).select("doc_id", "text", digest), carry=["text_sha256"])
+    return done.select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
 
 
 def _with_repeats(docs: DataFrame) -> DataFrame:
@@ -131,13 +131,13 @@ SQL: dict[str, str] = {}
 
 SQL["op9_exact_topk"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+    SELECT row_number() OVER () AS k, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
     FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT q.k, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.k <> c.k WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 

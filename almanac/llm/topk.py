@@ -1,4 +1,4 @@
-"""Exact search for the highest inner products: a KD-tree per shard, in blocks of queries."""
+"""Exact search for the highest inner products: a KD-tree per shard, which queries then stream past."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from almanac.llm.common import python_tasks
 from almanac.session import materialize
 
 SHARD_ROWS = 20_000
-BLOCK_QUERIES = 2_000
+BLOCK_QUERIES = 20_000
 LEAF_ROWS = 256
 SCALE = 1024
 
@@ -22,8 +22,8 @@ SCALE = 1024
 class KDTree:
     """Median splits along the widest side of tight boxes; a box of equal points is not split."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, leaf_rows: int = LEAF_ROWS):
-        self.points, self.ids = points, ids
+    def __init__(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf_rows: int = LEAF_ROWS):
+        self.points, self.ids, self.rows = points, ids, rows
         self.order = np.arange(len(points))
         self.low, self.high, self.kids, self.span = [], [], [], []
         if len(points):
@@ -47,7 +47,7 @@ class KDTree:
             self.low, self.high = np.array(self.low), np.array(self.high)
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """Best ``k`` (score, id), best first, ties to smaller ids; nothing below ``floor`` is looked for.
+        """Best ``k`` (score, id) but for the row ``own``, best first, ties to smaller ids; nothing below ``floor`` is looked for.
 
         ``floor`` is a score that k candidates are known to reach.
         """
@@ -68,15 +68,14 @@ class KDTree:
                 continue
             a, b = self.span[node]
             rows = self.order[a:b]
+            rows = rows[self.rows[rows] != own]
             scores = self.points[rows] @ query
             if least is not None:
                 rows, scores = rows[scores >= least], scores[scores >= least]
-            if len(rows) > k + 1:  # the query's own row may be among them
-                keep = np.lexsort((self.ids[rows], -scores))[: k + 1]
+            if len(rows) > k:
+                keep = np.lexsort((self.ids[rows], -scores))[:k]
                 rows, scores = rows[keep], scores[keep]
             for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
-                if i == own:
-                    continue
                 entry = (s, -i)
                 if len(best) < k:
                     heapq.heappush(best, entry)
@@ -85,16 +84,65 @@ class KDTree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ListArray) -> np.ndarray:
     """Integer vectors as rows; doubles where every inner product stays exact in them."""
-    column = column.combine_chunks()
     n = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    rows = flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    rows = flat.reshape(n, len(flat) // n if n else 0)
     most = float(np.abs(rows).max()) if rows.size else 0.0
     return rows.astype(np.float64) if most * most * max(1, rows.shape[1]) < 2**52 else rows
 
 
+FOUND = "query bigint, query_id bigint, vec_id bigint, score bigint"
+
+
+def _meet(points: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The best ``k`` points of its group for each query of the same group (``keys``).
+
+    Points (``row, id, v``) come before the queries (``row, id, v, floor``) of their group in a sorted partition, so a group's tree is built once
+    and its queries stream past it; a task holds the points of one group and one batch of queries.
+    """
+    floor = F.lit(None).cast("long").alias("floor")
+    both = points.select(*keys, F.lit(0).alias("asks"), "row", "id", "v", floor).unionByName(queries.select(*keys, F.lit(1).alias("asks"), "row", "id", "v", "floor"))
+    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "asks")
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, tree = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            marks = list(zip(*(table.column(i).to_pylist() for i in range(width + 1)), strict=True))
+            cuts = [i for i in range(1, len(marks)) if marks[i] != marks[i - 1]]
+            found: list[tuple[int, int, int, int]] = []
+            for a, b in zip([0, *cuts], [*cuts, len(marks)], strict=True):
+                if b == a:
+                    continue
+                *key, asks = marks[a]
+                if key != group:
+                    group, parts, tree = key, [], None
+                part = table.slice(a, b - a)
+                if not asks:
+                    parts.append(part)
+                    continue
+                if tree is None and parts:
+                    held = pa.concat_tables(parts).combine_chunks()
+                    tree, parts = KDTree(matrix(held["v"].combine_chunks()), held["id"].to_numpy(), held["row"].to_numpy()), []
+                if tree is None:
+                    continue
+                asked = matrix(part["v"].combine_chunks())
+                points = tree.points
+                if asked.dtype != points.dtype:
+                    asked = asked.astype(np.int64)
+                    points = tree.points = points.astype(np.int64)
+                    tree.low, tree.high = tree.low.astype(np.int64), tree.high.astype(np.int64)
+                for query, row, own, least in zip(asked, *(part[c].to_pylist() for c in ("row", "id", "floor")), strict=True):
+                    found += [(row, own, i, int(s)) for s, i in tree.search(query, row, k, least)]
+            columns = list(zip(*found, strict=True)) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
+
+    return dealt.mapInArrow(run, FOUND)
+
+
 def search(
     vectors: DataFrame,
     id_column: str = "vec_id",
@@ -106,65 +154,38 @@ def search(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` rows with the highest integer inner product.
 
-    Queries are the rows whose id is divisible by ``every``; candidates are all rows but those with the query's
-    own id. Components become ``floor(1024 * x)``; scores must fit a long. Rows with a null id, a null
-    or empty vector, or a null or non-finite component take no part. Rows that repeat an id count once (the
-    smallest vector). A vector is compared with those of its own length only. An empty table gives no rows.
+    Queries are the rows whose id is divisible by ``every``; candidates are all rows but the query's own. Rows that repeat
+    an id are rows of their own: each asks, and each can be found. Components become ``floor(1024 * x)``; scores must fit a long. Rows with a
+    null id, a null vector, or a null or non-finite component take no part. A vector is compared with those of its own length only. An empty table gives no rows.
 
-    Vectors are dealt by id into shards, queries into blocks, and each pair of shard and block is a task's group
-    of bounded size. First every block meets one shard, which gives each query a kth score to start from; then the
-    others search with it, so most boxes are never opened.
+    Rows are dealt into shards of bounded size. First all queries meet one of the shards, which is copied for each block of queries and gives each
+    of them a kth score to start from. Then they meet the other shards with it, so most boxes are never opened. The rows of
+    a shard are shuffled once, and its tree is built once, however many queries there are.
     """
     python_tasks(vectors.sparkSession)
     finite = F.forall(F.col("v"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = (
         vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
-        .where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
-        .select("id", F.transform("v", lambda x: F.floor(x * SCALE).cast("long")).alias("v"))
-        .groupBy("id")
-        .agg(F.min("v").alias("v"))
+        .where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
+        .select("id", F.transform("v", lambda x: F.floor(x * SCALE).cast("long")).alias("v"), F.monotonically_increasing_id().alias("row"))
     )
-    rows = materialize(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q"))
+    rows = materialize(rows.withColumn("width", F.size("v")), "vectors")
+    sizes = rows.groupBy("width").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q"))
     n, q = sizes.agg(F.max("n"), F.max("q")).first()
     shards, blocks = -(-(n or 1) // shard_rows), -(-(q or 1) // block_queries)
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
-    points = rows.select("id", "v", F.size("v").alias("width"), shard.alias("shard"))
-    asked = rows.where(F.col("id") % every == 0)
-    queries = asked.select(F.col("id").alias("own"), F.col("v").alias("q"), F.size("v").alias("width"), block.alias("block"))
-    start = F.pmod(F.col("block"), F.lit(shards))
-
-    def run(key, left: pa.Table, right: pa.Table) -> Iterator[pa.Table]:
-        found: list[tuple[int, int, int]] = []
-        if len(left) and len(right):
-            tree = KDTree(matrix(left["v"]), left["id"].to_numpy())
-            asked = matrix(right["q"])
-            floors = right["floor"].to_pylist()
-            for row, own in enumerate(right["own"].to_pylist()):
-                query = asked[row] if asked.dtype == tree.points.dtype else asked[row].astype(np.int64)
-                found += [(own, i, int(s)) for s, i in tree.search(query, own, k, floors[row])]
-        a, b, c = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
-
-    def meet(points: DataFrame, queries: DataFrame) -> DataFrame:
-        keys = ("width", "shard", "block")
-        spread = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return spread.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
+    points = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    queries = rows.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"))
 
     def best(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    first = materialize(meet(points, queries.withColumn("shard", start).withColumn("floor", F.lit(None).cast("long"))), "nearest")
+    copied = points.where("shard = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = _meet(copied, queries.withColumn("floor", F.lit(None).cast("long")), ["width", "block"], k)
     if shards == 1:
-        return best(first).select("query_id", "rank", "vec_id", "score")
-    floors = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("m"))
-    floors = floors.select(F.col("query_id").alias("own"), F.when(F.col("m") >= k, F.col("least")).alias("floor"))
-    later = (
-        queries.join(floors, "own", "left")
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .where(F.col("shard") != start)
-        .select(*(F.col(c).alias(c) for c in ("own", "q", "width", "block", "shard", "floor")))
-    )
-    return best(first.unionByName(meet(points, later))).select("query_id", "rank", "vec_id", "score")
+        return best(first)
+    first = materialize(first, "nearest")
+    floors = first.groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("m"))
+    floors = floors.select(F.col("query").alias("row"), F.when(F.col("m") >= k, F.col("least")).alias("floor"))
+    later = queries.join(floors, "row", "left").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
+    return best(first.unionByName(_meet(points.where("shard > 0"), later, ["width", "shard"], k)))

@@ -264,15 +264,11 @@ def test_first_fit_decreasing():
 
 
 def topk_model(rows, every, k):
-    usable = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            v = [int(np.floor(1024 * float(x))) for x in v]
-            usable[i] = min(usable.get(i, v), v)
+    usable = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in usable.items():
+    for at, (q, v) in enumerate(usable):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable.items() if i != q and len(w) == len(v))
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for to, (i, w) in enumerate(usable) if to != at and len(w) == len(v))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -283,6 +279,7 @@ def test_topk(spark, shard_rows, block_queries):
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(400)]
     rows += [(1000 + i, [1.0] * 6) for i in range(300)] + [(7, [9.0] * 6), (None, [1.0] * 6), (2000, None), (2100, []), (2200, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
     rows += [(2300, [float("nan")] * 6), (2400, [float("inf")] + [0.0] * 5), (2500, [1.0, 2.0]), (2501, [3.0, 2.0]), (2600, [2e5] * 6), (0, rows[0][1])]
+    rows += [(1, [8.0] * 6), (1, [8.0] * 6), (1100, [7.0] * 6), (2700, []), (2701, [])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, shard int, block int")
     got = sorted(tuple(r) for r in topk.search(df, shard_rows=shard_rows, block_queries=block_queries).collect())
     assert got == topk_model(rows, 100, 10)
