@@ -47,28 +47,34 @@ def first_equal(texts: Sequence[bytes]) -> list[int]:
     return first
 
 
-def numbered_rows(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``rid`` (a number for each row), ``rep`` (that of an equal text read with it), ``copies`` (how many of those), ``size`` in bytes, ``row``.
+def numbered_rows(docs: DataFrame, text_column: str, carry: Sequence[str]) -> DataFrame:
+    """``rid`` (a number for each row), ``rep`` (that of an equal text read with it), ``copies`` (how many of those), ``size`` in bytes, ``body``, ``row``.
 
-    The numbers hold for what one run of these tasks writes, so write the result before using it twice.
+    ``row`` holds the columns ``carry``; where the text is among them, it stands for ``body``. The numbers hold for what one run
+    of these tasks writes, so the rows are written.
     """
     python_tasks(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"))
-    at = docs.columns.index(text_column)
+    body = F.coalesce(text_column, F.lit("")).cast("binary")
+    rows = docs.select(F.struct(*carry).alias("row"), *([] if text_column in carry else [body.alias("body")]))
+    column = list(carry).index(text_column) if text_column in carry else None
+    names = ["rid", "rep", "copies", "size", *rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).field(at).cast(pa.binary()).to_pylist()]
+            bodies = batch.column(1) if column is None else batch.column(0).field(column).cast(pa.binary())
+            texts = [t or b"" for t in bodies.to_pylist()]
             first = first_equal(texts)
             copies = [0] * len(texts)
             for i in first:
                 copies[i] += 1
             columns = [[base + i for i in range(len(texts))], [base + i for i in first], [copies[i] for i in first], [len(t) for t in texts]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), batch.column(0)], names=["rid", "rep", "copies", "size", "row"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), *batch.columns], names=names)
             base += len(texts)
 
-    return rows.mapInArrow(run, f"rid long, rep long, copies long, size long, row {rows.schema['row'].dataType.simpleString()}")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    done = materialize(rows.mapInArrow(run, f"rid long, rep long, copies long, size long, {kinds}"), "numbered")
+    return done if column is None else done.withColumn("body", F.coalesce(F.col("row").getField(text_column), F.lit("")).cast("binary"))
 
 
 def _digit(body: Column, at: int, width: int) -> Column:
@@ -89,7 +95,8 @@ def equal_texts(texts: DataFrame) -> DataFrame | None:
     while True:
         keys = ["size", "node", "digit"]
         nodes = now.groupBy(*keys).agg(F.min("rid").alias("next"), F.count("*").alias("n")).where("n > 1").drop("n")
-        moved = now.join(nodes, keys).select("rid", "size", F.col("next").alias("node"))
+        # Nodes grow with the data and carry digits, so they are never sent to all tasks: one plan at every size.
+        moved = now.join(nodes.hint("merge"), keys).select("rid", "size", F.col("next").alias("node"))
         placed = materialize(moved, "nodes")
         at, width = next_digit(at, width)
         groups.append(placed.where(F.col("size") <= at).select("rid", "node"))
@@ -101,19 +108,20 @@ def equal_texts(texts: DataFrame) -> DataFrame | None:
         now = open_rows.join(rest.select("rid", _digit(F.col("body"), at, width)), "rid")
 
 
-def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``row`` (the row of ``docs``, all its columns), ``keep_id``, ``group_size``, ``kept`` for every row.
+def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """``row`` (the id and the columns ``carry`` of the row, by default all of ``docs``), ``keep_id``, ``group_size``, ``kept`` for every row.
 
     Rows with the same text, byte for byte, are a group; null counts as an empty text. The row with the largest id stays, null ids
     being lowest; of several such rows one. ``keep_id`` is its id and ``group_size`` the number of rows. Rows, their order of columns
     and other columns are kept as they are; an empty table gives no rows.
 
     Texts that are read together are compared first, so of a very common text one row per batch takes part in the rounds over all
-    data. Groups are then summed before they are shuffled, and only numbers move.
+    data. Groups are then summed before they are shuffled. What is marked moves at the end with the columns that are carried: leave
+    the text out where it is not needed.
     """
-    rows = materialize(numbered_rows(docs, text_column), "numbered")
-    body = F.coalesce(F.col("row").getField(text_column), F.lit("")).cast("binary")
-    found = equal_texts(rows.where("rid = rep").select("rid", "size", body.alias("body")))
+    names = docs.columns if carry is None else list(dict.fromkeys([id_column, *carry]))
+    rows = numbered_rows(docs, text_column, names)
+    found = equal_texts(rows.where("rid = rep").select("rid", "size", "body"))
     linked = found.select(F.col("rid").alias("rep"), "node")
     ids = rows.select("rid", "rep", "copies", F.col("row").getField(id_column).alias("id"))
     members = ids.join(linked, "rep", "left").where("copies > 1 OR node IS NOT NULL")
