@@ -5,6 +5,11 @@ keeps catalog tables current: a Parquet table cannot change in place, so the new
 rows are written to a new folder and the table is pointed there; the old folder
 stays, so readers that have started can finish, until :func:`remove_old_versions`.
 Tables live below the location of their database, never in the scratch folder.
+
+A change of rows writes again only the partitions that have such rows, of one table or of
+several together (:func:`change_tables`): first all new folders are written, then one record of
+where every partition goes, then the catalog is told. :func:`recover` finishes a change that broke off after its record.
+Nothing is locked: two changes of one table must not run at the same time.
 """
 
 from __future__ import annotations
@@ -12,6 +17,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,13 +221,195 @@ def write_table(df: DataFrame, table: str, if_not: bool = True, partition_by: Se
         _aligned(df, table).write.insertInto(table)
 
 
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"  # the folder of rows whose partition column is NULL
+
+Spec = dict[str, str | None]  # partition column -> value as text
+
+
+def _spec_sql(spec: Spec) -> str:
+    return ", ".join(f"`{c}` = {'NULL' if v is None else _literal(v)}" for c, v in spec.items())
+
+
+def _spec_of(folder: str) -> Spec:
+    """The partition of a folder or catalog entry such as ``day=2024-01-01/kind=a``."""
+    pairs = (part.split("=", 1) for part in folder.strip("/").split("/"))
+    return {unquote(c): None if v == NO_VALUE else unquote(v) for c, v in pairs}
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _location(spark: SparkSession, table: str, spec: Spec | None = None) -> str | None:
+    """Where a table or one of its partitions is; None for a partition it does not have."""
+    of = f" PARTITION ({_spec_sql(spec)})" if spec else ""
+    rows = spark.sql(f"DESCRIBE FORMATTED {table}{of}").where(F.col("col_name") == "Location").collect()
+    return rows[0]["data_type"].rstrip("/") if rows else None
+
+
+def partitions(spark: SparkSession, table: str) -> list[Spec]:
+    """The partitions that the catalog knows; none for a table without partition columns."""
+    if not partition_columns(spark, table):
+        return []
+    return [_spec_of(r["partition"]) for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+
+
+def _written_partitions(spark: SparkSession, path: str, levels: int) -> dict[str, str]:
+    """Partition folders below ``path``: relative name -> folder."""
+    system, _ = _file_system(spark, path)
+    glob = spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([path, *["*=*"] * levels]))
+    found = [str(s.getPath()) for s in system.globStatus(glob) or []]
+    return {"/".join(f.split("/")[-levels:]): f for f in found}
+
+
+def _is_in(columns: Sequence[T.StructField], specs: Sequence[Spec]) -> Column:
+    """Rows of the given partitions, as a condition that prunes the others."""
+    if len(columns) == 1:
+        name, kind = columns[0].name, columns[0].dataType
+        known = [F.lit(s[name]).cast(kind) for s in specs if s[name] is not None]
+        test = F.col(name).isin(known) if known else F.lit(False)
+        return test | F.col(name).isNull() if any(s[name] is None for s in specs) else test
+    tests = [reduce(Column.__and__, [F.col(f.name).eqNullSafe(F.lit(s[f.name]).cast(f.dataType)) for f in columns]) for s in specs]
+    while len(tests) > 1:  # a flat tree, as there may be many partitions
+        tests = [reduce(Column.__or__, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
+
+
+def _touched(spark: SparkSession, table: str, hit: Column) -> list[Spec]:
+    """The partitions that have a row for which ``hit`` is true: one row for each of them."""
+    columns = partition_columns(spark, table)
+    found = spark.table(table).where(hit).select(*[F.col(c).cast("string").alias(c) for c in columns]).distinct()
+    return [r.asDict() for r in found.collect()]
+
+
+def _stage(spark: SparkSession, table: str, hit: Column | None, change: Callable[[DataFrame], DataFrame], moves: Column | None = None) -> dict | None:
+    """Write what a change of a table makes of it, and return where its parts then are; None if nothing changes.
+
+    ``hit`` says which rows change (None: any row may). Only partitions with such rows are read and written again. ``moves`` is
+    given where rows may change their partition: partitions they go to are touched too.
+    """
+    columns = partition_columns(spark, table)
+    old = spark.table(table)
+    path = _new_version(spark, table)
+    if not columns:
+        if hit is not None and old.where(hit).isEmpty():
+            return None
+        change(old).select(*old.columns).write.parquet(path)
+        return {"table": table, "location": path, "partitions": []}
+    fields = [old.schema[c] for c in columns]
+    touched = partitions(spark, table) if hit is None else _touched(spark, table, hit)
+    if not touched:
+        return None
+    if moves is not None:
+        goes = change(old.where(_is_in(fields, touched))).where(moves).select(*[F.col(c).cast("string").alias(c) for c in columns]).distinct()
+        known = {tuple(s.items()) for s in touched}
+        touched += [s for s in (r.asDict() for r in goes.collect()) if tuple(s.items()) not in known]
+    change(old.where(_is_in(fields, touched))).select(*old.columns).write.partitionBy(*columns).parquet(path)
+    return {"table": table, "location": None, "partitions": _moves_to(spark, table, path, touched)}
+
+
+def _moves_to(spark: SparkSession, table: str, path: str, old: Sequence[Spec]) -> list[dict]:
+    """For each partition written below ``path`` its new place, and those of ``old`` that are empty now."""
+    columns = partition_columns(spark, table)
+    new = [(_spec_of(name), folder) for name, folder in _written_partitions(spark, path, len(columns)).items()]
+    left = {tuple(s[c] for c in columns) for s, _ in new}
+    gone = [s for s in old if tuple(s[c] for c in columns) not in left]
+    return [{"spec": s, "to": folder} for s, folder in new] + [{"spec": s, "to": None, "was": _location(spark, table, s)} for s in gone]
+
+
+def _switch(spark: SparkSession, switch: dict) -> None:
+    """Tell the catalog where a table and its partitions are now. May be done again."""
+    table = switch["table"]
+    if switch["location"]:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION {_literal(switch['location'])}")
+    for part in switch["partitions"]:
+        spec = _spec_sql(part["spec"])
+        if part["to"]:
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION ({spec}) LOCATION {_literal(part['to'])}")
+            spark.sql(f"ALTER TABLE {table} PARTITION ({spec}) SET LOCATION {_literal(part['to'])}")
+        else:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+            # The files must go too: rows that come later for this partition would be put beside them.
+            if part["was"] and f"/{_names(spark, table)[1]}.versions/" in part["was"]:
+                system, folder = _file_system(spark, part["was"])
+                system.delete(folder, True)
+    spark.catalog.refreshTable(table)
+
+
+def _records(spark: SparkSession, database: str) -> str:
+    return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/_changes"
+
+
+def _commit(spark: SparkSession, switches: Sequence[dict]) -> None:
+    """One record of all switches, which counts from its renaming on; then the switches."""
+    if not switches:
+        return
+    folder, name = _records(spark, _names(spark, switches[0]["table"])[0]), uuid.uuid4().hex
+    system, open_record = _file_system(spark, f"{folder}/{name}.open")
+    out = system.create(open_record)
+    out.write(json.dumps(list(switches)).encode())
+    out.close()
+    record = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
+    if not system.rename(open_record, record):
+        raise OSError(f"cannot write {record}")
+    for switch in switches:
+        _switch(spark, switch)
+    system.delete(record, False)
+
+
+def recover(spark: SparkSession, database: str) -> int:
+    """Finish the changes that broke off after their record was written; returns how many. Those without a record have changed nothing."""
+    system, folder = _file_system(spark, _records(spark, database))
+    if not system.exists(folder):
+        return 0
+    done = 0
+    for status in system.listStatus(folder):
+        path = status.getPath()
+        if path.getName().endswith(".json"):
+            text = "".join(r["value"] for r in spark.read.text(str(path), wholetext=True).collect())
+            for switch in json.loads(text):
+                _switch(spark, switch)
+            done += 1
+        system.delete(path, False)
+    return done
+
+
+def change_tables(spark: SparkSession, changes: Sequence[tuple[str, Column | None, Callable[[DataFrame], DataFrame]]]) -> None:
+    """Change rows of several stored tables of one database together.
+
+    Each entry is a table, the condition for the rows that change (None: any), and a function from old to new rows with the same columns that
+    leaves other rows as they are and in their partitions. All new rows are written before the first table is switched.
+    """
+    staged = [_stage(spark, table, hit, change) for table, hit, change in changes]
+    _commit(spark, [s for s in staged if s])
+
+
+def delete_stored(spark: SparkSession, table: str, where: Where) -> None:
+    """:func:`delete_where` in a stored table; partitions without such rows are left as they are."""
+    if not where:
+        raise ValueError("delete_stored needs a condition")
+    change_tables(spark, [(table, equals_all(where, null_words=False), lambda df: delete_where(df, where))])
+
+
+def update_stored(spark: SparkSession, tables: str | Sequence[str], where: Where, sets: Mapping[str, object]) -> None:
+    """:func:`update_where` in a stored table, or in several together; partitions without such rows are left as they are."""
+    names = [tables] if isinstance(tables, str) else list(tables)
+    hit = equals_all(where, null_words=False)
+    staged = []
+    for table in names:
+        moved = [c for c in partition_columns(spark, table) if c in sets]
+        staged.append(_stage(spark, table, hit, lambda df: update_where(df, where, sets), F.lit(True) if moved else None))
+    _commit(spark, [s for s in staged if s])
+
+
 def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] | None = None) -> None:
     """The table with other rows, and with other columns if ``df`` has them.
 
     ``df`` may read the table itself: the new rows are complete in a folder of their own before the
-    switch. For a table without partitions and with the same columns the switch is one change of the table's
-    location, and defaults and properties stay. The catalog keeps a location for each partition, so
-    a partitioned table, like one with other columns, is exchanged for a new entry: the old one is kept under
+    switch. With the same columns and partition columns the table and its partitions are pointed to the new folders, and defaults
+    and properties stay. A table with other columns is exchanged for a new entry: the old one is kept under
     another name until the new one is in place. ``partition_by`` None keeps the partitioning.
     """
     spark = df.sparkSession
@@ -231,11 +420,11 @@ def replace_table(df: DataFrame, table: str, partition_by: Sequence[str] | None
     old = partition_columns(spark, table)
     wanted = [c for c in old if c in flat.columns] if partition_by is None else list(partition_by)
     target = spark.table(table).schema
-    if not wanted and not old and {(f.name, f.dataType) for f in flat.schema} == {(f.name, f.dataType) for f in target}:
+    if wanted == old and {(f.name, f.dataType) for f in flat.schema} == {(f.name, f.dataType) for f in target}:
         path = _new_version(spark, table)
-        flat.select(*target.names).write.parquet(path)
-        spark.sql(f"ALTER TABLE {table} SET LOCATION {_literal(path)}")
-        spark.catalog.refreshTable(table)
+        writer = flat.select(*target.names).write
+        (writer.partitionBy(*old) if old else writer).parquet(path)
+        _commit(spark, [{"table": table, "location": path, "partitions": _moves_to(spark, table, path, partitions(spark, table)) if old else []}])
         return
     mark = uuid.uuid4().hex[:12]
     _write_new(flat, f"{table}__new_{mark}", wanted)
@@ -252,31 +441,47 @@ def rewrite_table(spark: SparkSession, table: str, change: Callable[[DataFrame],
 def expire(spark: SparkSession, table: str, field: str, moment) -> None:
     """Retention in a stored table: delete rows older than ``moment``; rows without a date stay.
 
-    Where the table has a partition for each value of ``field``, old partitions leave the catalog and no
-    data is read or written; otherwise the table is rewritten.
+    Where ``field`` is a partition column, old partitions leave the catalog and their files are deleted, without
+    reading any data. Otherwise partitions with old rows are written again; a table without partitions is rewritten.
     """
-    if partition_columns(spark, table) != [field]:
-        rewrite_table(spark, table, lambda df: delete_before(df, field, moment))
+    columns = partition_columns(spark, table)
+    old = F.col(field) < F.lit(moment)
+    if field not in columns:
+        change_tables(spark, [(table, old, lambda df: delete_before(df, field, moment))])
         return
-    values = spark.table(table).select(F.col(field).alias("v")).distinct().where(F.col("v") < F.lit(moment))
-    for row in values.select(F.col("v").cast("string").alias("v")).collect():
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({field} = {_literal(row['v'])})")
-    spark.catalog.refreshTable(table)
+    kind = spark.table(table).schema[field].dataType
+    listed = partitions(spark, table)
+    if not listed:
+        return
+    values = spark.createDataFrame([(i, s[field]) for i, s in enumerate(listed)], f"i int, {field} string")
+    gone = [listed[r["i"]] for r in values.select("i", F.col(field).cast(kind).alias(field)).where(old).collect()]
+    parts = [{"spec": s, "to": None, "was": _location(spark, table, s)} for s in gone]
+    _commit(spark, [{"table": table, "location": None, "partitions": parts}] if parts else [])
 
 
 def remove_old_versions(spark: SparkSession, table: str) -> int:
-    """Delete the folders that earlier versions of a table have left; returns their number.
+    """Delete the folders of files that earlier versions of a table have left; returns their number.
 
-    Call it when no reader of an earlier version is left.
+    Call it when no reader of an earlier version is left, and no change is under way.
     """
-    rows = spark.sql(f"DESCRIBE FORMATTED {table}").where(F.col("col_name") == "Location").collect()
-    current = rows[0]["data_type"].rstrip("/").rsplit("/", 1)[-1]
-    jvm = spark.sparkContext._jvm
-    home = jvm.org.apache.hadoop.fs.Path(_home(spark, table))
-    system = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = [s.getPath() for s in system.listStatus(home) if s.getPath().getName() != current] if system.exists(home) else []
-    for path in old:
-        system.delete(path, True)
+    system, home = _file_system(spark, _home(spark, table))
+    if not system.exists(home):
+        return 0
+    current = {unquote(urlsplit(f).path).rsplit("/", 1)[0] for f in spark.table(table).inputFiles()}
+    old = {}
+    files = system.listFiles(home, True)
+    while files.hasNext():
+        path = files.next().getPath()
+        if not path.getName().startswith(("_", ".")) and path.getParent().toUri().getPath() not in current:
+            old[str(path.getParent())] = path.getParent()
+    for folder in old.values():
+        system.delete(folder, True)
+    # versions of which nothing is left
+    table_at = urlsplit(_location(spark, table)).path
+    for version in system.listStatus(home):
+        at = version.getPath().toUri().getPath()
+        if at != table_at and not any(c == at or c.startswith(at + "/") for c in current):
+            system.delete(version.getPath(), True)
     return len(old)
 
 

@@ -121,14 +121,45 @@ def archive(spark, sf):
 
 
 def stored_delete(spark, sf):
+    """On a table with partitions: the first two changes touch one of them each."""
     name = fresh_table(spark, "orders")
-    dml.write_table(read(spark, sf, "orders"), name)
-    dml.rewrite_table(spark, name, lambda df: dml.delete_where(df, [("o_orderstatus", "P")]))
-    dml.rewrite_table(spark, name, lambda df: dml.update_where(df, [("o_orderpriority", "5-LOW")], {"o_totalprice": 0.0}))
-    dml.rewrite_table(spark, name, lambda df: dml.delete_before(df, "o_orderdate", datetime.date(1997, 1, 1)))
+    orders = read(spark, sf, "orders")
+    dml.write_table(orders, name, partition_by=["o_orderstatus", "o_orderpriority"])
+    dml.delete_stored(spark, name, [("o_orderstatus", "P")])
+    dml.update_stored(spark, name, [("o_orderpriority", "5-LOW")], {"o_totalprice": 0.0})
+    dml.expire(spark, name, "o_orderdate", datetime.date(1997, 1, 1))
+    return spark.table(name).select(*orders.columns)
+
+
+def _days(spark, sf):
+    day = F.when(F.col("event_id") % 1000 != 0, F.to_date("ts"))
+    return read(spark, sf, "events").select("event_id", "user_id", "event_type", "value", day.alias("day"))
+
+
+def stored_expire(spark, sf):
+    """Old days go; what arrives late for one of them is all there is of it."""
+    name = fresh_table(spark, "events")
+    events = _days(spark, sf)
+    dml.write_table(events, name, partition_by=["day"])
+    dml.expire(spark, name, "day", datetime.date(2024, 1, 20))
+    dml.write_table(events.where("day < DATE '2024-01-20' AND event_id % 100 = 7"), name)
+    dml.remove_old_versions(spark, name)
     return spark.table(name)
 
 
+def stored_update_tables(spark, sf):
+    """One key is renamed in three tables together; two of them have a partition for each key."""
+    names = [fresh_table(spark, t) for t in ("nation", "supplier", "customer")]
+    for name, table, key in zip(names, ("nation", "supplier", "customer"), ("n_nationkey", "s_nationkey", "c_nationkey")):
+        rows = read(spark, sf, table).withColumnRenamed(key, "nation")
+        dml.write_table(rows, name, partition_by=["nation"] if table != "supplier" else [])
+    dml.update_stored(spark, names, [("nation", 7)], {"nation": 107})
+    dml.update_stored(spark, names, [("nation", 8)], {"nation": 9})
+    counted = [spark.table(n).groupBy("nation").agg(F.count(F.lit(1)).alias("n_rows")) for n in names]
+    labelled = [c.select(F.lit(t).alias("table"), "nation", "n_rows") for c, t in zip(counted, ("nation", "supplier", "customer"))]
+    return labelled[0].union(labelled[1]).union(labelled[2])
+
+
 def stored_insert_if_absent(spark, sf):
     """Twice the same insert: the second one adds only the rows whose key is NULL."""
     name = fresh_table(spark, "customer")
@@ -152,6 +183,8 @@ QUERIES = {
     "snapshot_append": snapshot_append,
     "archive_shard": archive,
     "stored_delete_update": stored_delete,
+    "stored_expire": stored_expire,
+    "stored_update_tables": stored_update_tables,
     "stored_insert_if_absent": stored_insert_if_absent,
 }
 
@@ -198,6 +231,13 @@ SQL = {
         SELECT o_orderkey, o_custkey, o_orderstatus,
                CASE WHEN o_orderpriority = '5-LOW' THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
         FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate >= TIMESTAMP '1997-01-01'""",
+    "stored_expire": """
+        SELECT * FROM (SELECT event_id, user_id, event_type, value, CASE WHEN event_id % 1000 <> 0 THEN CAST(ts AS DATE) END AS day FROM events)
+        WHERE day IS NULL OR day >= DATE '2024-01-20' OR event_id % 100 = 7""",
+    "stored_update_tables": """
+        SELECT "table", CASE k WHEN 7 THEN 107 WHEN 8 THEN 9 ELSE k END AS nation, count(*) AS n_rows FROM (
+            SELECT 'nation' AS "table", n_nationkey AS k FROM nation UNION ALL SELECT 'supplier', s_nationkey FROM supplier
+            UNION ALL SELECT 'customer', c_nationkey FROM customer) GROUP BY ALL""",
     "stored_insert_if_absent": f"""
         SELECT c_custkey, c_name FROM customer
         UNION ALL SELECT k, n FROM ({_FRESH}) WHERE k NOT IN (SELECT c_custkey FROM customer)

@@ -226,3 +226,130 @@ def test_views_of_the_caller_stay(spark, keyed):
     assert from_sql(spark, "SELECT count(*) AS n FROM MINE", tables={"MINE": keyed}).first().n == keyed.count()
     assert spark.table("mine").count() == 3
     spark.catalog.dropTempView("mine")
+
+
+def files_of(spark, name):
+    """Partition folder -> its files."""
+    found = {}
+    for f in spark.table(name).inputFiles():
+        folder, file = f.rsplit("/", 2)[-2:]
+        found.setdefault(folder, set()).add(file)
+    return found
+
+
+def test_a_change_writes_only_the_partitions_it_hits(spark, database):
+    name = f"{database}.hundred"
+    df = spark.range(1000).select("id", (F.col("id") % 7).cast("string").alias("kind"), (F.col("id") % 100).cast("int").alias("p"))
+    dml.write_table(df.repartition(4), name, partition_by=["p"])
+    before = files_of(spark, name)
+    dml.delete_stored(spark, name, [("id", 342)])
+    after = files_of(spark, name)
+    assert len(before) == len(after) == 100 and [p for p in before if before[p] != after[p]] == ["p=42"]
+    assert rows(spark.table(name)) == rows(df.where("id <> 342"))
+    dml.delete_stored(spark, name, [("id", 5000)])
+    dml.update_stored(spark, name, [("id", 17)], {"kind": "it's"})
+    again = files_of(spark, name)
+    assert [p for p in after if after[p] != again[p]] == ["p=17"] and spark.table(name).where("kind = 'it\\'s'").count() == 1
+    # rows that move to another partition, to a new one, and all rows of one
+    dml.update_stored(spark, name, [("id", 3)], {"p": 5})
+    dml.update_stored(spark, name, [("p", 9)], {"p": 109})
+    dml.delete_stored(spark, name, [("p", 11)])
+    want = df.where("id <> 342 AND p <> 11").withColumn("kind", F.when(F.col("id") == 17, "it's").otherwise(F.col("kind")))
+    want = want.withColumn("p", F.when(F.col("id") == 3, 5).when(F.col("p") == 9, 109).otherwise(F.col("p")))
+    assert rows(spark.table(name)) == rows(want)
+    assert {s["p"] for s in dml.partitions(spark, name)} == {str(i) for i in [*range(100), 109]} - {"9", "11"}
+    assert dml.remove_old_versions(spark, name) > 3 and dml.remove_old_versions(spark, name) == 0
+    assert rows(spark.table(name)) == rows(want)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_odd_partition_values(spark, database):
+    name = f"{database}.odd_parts"
+    values_ = ["a b", "x/y", "50%", "c=d", "it's", "back\\slash", "é:ü", None]
+    df = spark.createDataFrame([(i, v, datetime.datetime(2024, 1, 1 + i % 2, 6, 30)) for i, v in enumerate(values_ * 3)], "id int, v string, t timestamp_ntz")
+    dml.write_table(df, name, partition_by=["v", "t"])
+    for i, v in enumerate(values_):
+        dml.update_stored(spark, name, [("id", i)], {"id": 100 + i})
+        dml.delete_stored(spark, name, [("id", 8 + i)])
+    want = df.where("id < 8 OR id >= 16").withColumn("id", F.when(F.col("id") < 8, F.col("id") + 100).otherwise(F.col("id")))
+    assert rows(spark.table(name)) == rows(want)
+    dml.expire(spark, name, "t", datetime.datetime(2024, 1, 2))
+    assert rows(spark.table(name)) == rows(want.where("t >= TIMESTAMP_NTZ '2024-01-02'"))
+    dml.replace_table(spark.table(name).where("v IS NULL OR v = '50%'"), name)
+    assert rows(spark.table(name)) == rows(want.where("t >= TIMESTAMP_NTZ '2024-01-02' AND (v IS NULL OR v = '50%')"))
+    dml.write_table(df.where("id = 2"), name)
+    assert spark.table(name).where("v = '50%' AND id = 2").count() == 1
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_rows_that_come_after_expiry_are_alone(spark, database):
+    name = f"{database}.late"
+    df = spark.createDataFrame([(1, datetime.date(2024, 1, 1)), (2, datetime.date(2024, 1, 1)), (3, datetime.date(2024, 1, 5)), (4, None)], "id int, d date")
+    dml.write_table(df, name, partition_by=["d"])
+    old = [f for f in spark.table(name).inputFiles() if "2024-01-01" in f]
+    dml.expire(spark, name, "d", datetime.date(2024, 1, 3))
+    assert sorted(values(spark.table(name))) == [3, 4]
+    system, path = dml._file_system(spark, old[0])
+    assert not system.exists(path)
+    dml.write_table(spark.createDataFrame([(9, datetime.date(2024, 1, 1))], df.schema), name)
+    assert sorted(values(spark.table(name))) == [3, 4, 9]
+    dml.expire(spark, name, "d", datetime.date(2020, 1, 1))
+    assert sorted(values(spark.table(name))) == [3, 4, 9]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_replaced_table_never_loses_its_name(spark, database, monkeypatch):
+    name = f"{database}.named"
+    df = spark.range(20).select("id", (F.col("id") % 4).alias("p"))
+    dml.write_table(df, name, partition_by=["p"])
+
+    def renamed(*args):
+        raise AssertionError("the table was renamed")
+
+    monkeypatch.setattr(dml, "rename_table", renamed)
+    dml.replace_table(spark.table(name).where("p <> 1"), name)
+    assert rows(spark.table(name)) == rows(df.where("p <> 1"))
+    dml.write_table(df.where("id = 1"), name)
+    assert spark.table(name).where("p = 1").count() == 1
+    spark.sql(f"DROP TABLE {name}")
+
+
+@pytest.mark.parametrize("breaks_at", [0, 1, 2])
+def test_a_change_of_three_tables_that_breaks_off_is_finished(spark, database, monkeypatch, breaks_at):
+    names = [f"{database}.three_{i}_{breaks_at}" for i in range(3)]
+    df = spark.range(12).select("id", (F.col("id") % 3).alias("key"))
+    for i, name in enumerate(names):
+        dml.write_table(df, name, partition_by=["key"] if i else [])
+    real, calls = dml._switch, []
+
+    def breaking(spark_, switch):
+        if len(calls) == breaks_at:
+            raise OSError("lost")
+        calls.append(switch["table"])
+        real(spark_, switch)
+
+    monkeypatch.setattr(dml, "_switch", breaking)
+    with pytest.raises(OSError):
+        dml.update_stored(spark, names, [("key", 2)], {"key": 50})
+    assert [spark.table(n).where("key = 50").count() > 0 for n in names] == [i < breaks_at for i in range(3)]
+    monkeypatch.setattr(dml, "_switch", real)
+    assert dml.recover(spark, database) == 1 and dml.recover(spark, database) == 0
+    want = rows(df.withColumn("key", F.when(F.col("key") == 2, 50).otherwise(F.col("key"))))
+    for name in names:
+        assert rows(spark.table(name).select("id", "key")) == want
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_change_that_breaks_off_before_its_record_changes_nothing(spark, database, monkeypatch):
+    name = f"{database}.unrecorded"
+    df = spark.range(6).select("id", (F.col("id") % 2).alias("p"))
+    dml.write_table(df, name, partition_by=["p"])
+
+    def lost(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(dml, "_commit", lost)
+    with pytest.raises(OSError):
+        dml.delete_stored(spark, name, [("p", 1)])
+    assert rows(spark.table(name)) == rows(df) and dml.recover(spark, database) == 0
+    spark.sql(f"DROP TABLE {name}")
