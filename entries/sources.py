@@ -10,7 +10,7 @@ from almanac.plans.report import ReportTable, read_provenance, sheet_summary, wr
 from almanac.session import scratch_path
 from almanac.sources.catalog import describe, find_column, list_columns, list_tables
 from almanac.sources.csv import read_csv, write_csv
-from almanac.sources.encoding import to_ascii
+from almanac.sources.encoding import from_unicode, read_lines_any_encoding, to_ascii
 from almanac.sources.folders import read_lines
 from almanac.sources.tables import from_select
 from almanac.sources.textreport import LineRule, parse_lines, read_report
@@ -204,6 +204,24 @@ def text_any_encoding(spark, sf):
     return d.select("doc_id", to_ascii(content).alias("text"))
 
 
+def text_files_any_encoding(spark, sf):
+    """The lines of all documents in files of four encodings, and back.
+
+    The first byte of a file tells its charset, so every line starts with a sign that has that byte.
+    """
+    d = read(spark, sf, "documents").where("text IS NOT NULL")
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    folder = scratch_path(spark, "encodings")
+    for k, (charset, sign) in enumerate((("utf8", "é"), ("latin1", "é"), ("iso8859_15", "€"), ("cp1252", "“"))):
+        line = F.concat(F.lit(sign), F.concat_ws("\t", F.col("doc_id"), F.col("at"), F.col("line")))
+        some = lines.where(F.col("doc_id") % 4 == k)
+        some.select(from_unicode(line, charset).cast("string").alias("value")).write.text(f"{folder}/{charset}")
+    part = F.split("text", "\t", 3)
+    back = read_lines_any_encoding(spark, folder, "part-*").select(part.alias("p"))
+    number = F.regexp_extract(F.col("p")[0], r"\d+$", 0).cast("bigint")
+    return back.select(number.alias("doc_id"), F.col("p")[1].cast("bigint").alias("at"), F.col("p")[2].alias("text"))
+
+
 QUERIES = {
     "read_csv": csv_round_trip,
     "write_csv": csv_quoted,
@@ -219,6 +237,7 @@ QUERIES = {
     "catalog_info": catalog_info,
     "describe_table": describe_table,
     "read_text_any_encoding": text_any_encoding,
+    "read_lines_any_encoding": text_files_any_encoding,
 }
 
 # The same report without parsing: what each order line says, and the last named store line.
@@ -271,4 +290,7 @@ SQL = {
             (9, 'l_linestatus', 'string'), (10, 'l_shipdate', 'timestamp_ntz')) v(position, "column", type)""",
     "read_text_any_encoding": r"""
         SELECT doc_id, regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g') AS text FROM documents""",
+    "read_lines_any_encoding": r"""
+        SELECT doc_id, k - 1 AS "at", regexp_replace(strip_accents(line), '[^\x00-\x7F]', '', 'g') AS text
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)""",
 }

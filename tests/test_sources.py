@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from almanac.session import materialize, scratch_path, shared_dir
 from almanac.sources import catalog, folders, tables
 from almanac.sources.csv import read_csv, write_csv
-from almanac.sources.encoding import read_text_any_encoding, to_ascii, to_unicode
+from almanac.sources.encoding import from_unicode, read_lines_any_encoding, read_text_any_encoding, to_ascii, to_unicode
 from almanac.sources.textreport import LineRule, parse_lines, read_report, total_level, total_name
 
 
@@ -217,6 +217,53 @@ def test_encodings(spark, tmp_path):
     assert got == {k: v[2] for k, v in data.items() if v[0]}  # an empty file has no row
 
 
+def test_lines_of_files_in_any_encoding(spark, tmp_path):
+    """Files are split over tasks, and what decides is at other ends of them."""
+    body = [f"line {i} with é and ü" for i in range(4000)]
+    data = {
+        "utf8": "\n".join(body).encode(),
+        "late": "\n".join(body[:10]).encode() + b"\n" + b"plain\n" * 20_000 + b"\xe9 is not utf-8",
+        "latin15": "\n".join(["€ first", *body]).encode("iso8859_15"),
+        "cp1252": "\n".join(["“first” …", *body]).encode("cp1252"),
+        "latin1": "\n".join(["¿", *body, ""]).encode("latin-1") + b"\xa4\r\n\r\n",
+        "blank": b"\n\n\x80",
+        "control": "é\n".encode() + b"a\x00",
+        "empty": b"",
+    }
+    want = {}
+    for name, content in data.items():
+        (tmp_path / f"{name}.txt").write_bytes(content)
+        try:
+            text = content.decode()
+            if "\x00" in text:
+                raise ValueError
+        except ValueError:
+            charset = {0xA4: "iso8859_15"}.get(content[0], "cp1252" if 0x80 <= content[0] <= 0xBF else "latin-1")
+            text = content.decode(charset)
+        lines = text.split("\n")
+        want[name] = lines[:-1] if lines[-1] == "" else lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = read_lines_any_encoding(spark, str(tmp_path), ascii_only=False)
+        got = {}
+        for r in df.orderBy("path", "place").collect():
+            got.setdefault(r.path.rsplit("/", 1)[1][:-4], []).append(r.text)
+        assert df.where("path like '%late.txt'").select("place.block").distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {k: v for k, v in want.items() if v}
+    folded = read_lines_any_encoding(spark, str(tmp_path), "latin15.txt").orderBy("place").first().text
+    assert folded == " first"
+
+
+@pytest.mark.parametrize("charset", ["utf8", "latin1", "iso8859_15", "cp1252"])
+def test_bytes_of_a_text_in_a_charset(spark, charset):
+    text = {"utf8": "日本 é", "latin1": "¤ é ÿ", "iso8859_15": "€ Š é", "cp1252": "“€” … é"}[charset]
+    python = {"utf8": "utf-8", "latin1": "latin-1"}.get(charset, charset)
+    got = spark.createDataFrame([(text,)], "t string").select(from_unicode(F.col("t"), charset)).first()[0]
+    assert bytes(got) == text.encode(python)
+
+
 def test_catalog(spark):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS cat LOCATION '{scratch_path(spark, 'cat')}'")
     spark.range(1).select("id", F.lit("x").alias("Name")).write.mode("overwrite").saveAsTable("cat.one")
