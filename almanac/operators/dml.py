@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -535,6 +535,36 @@ def snapshot_append(df: DataFrame, table: str, run_datetime, sub_task: str, over
         write_table(rows, table, partition_by=["run_datetime"])
 
 
+def snapshot_run(df: DataFrame, table: str, run_datetime, sub_task: str) -> dict[str, int]:
+    """Put the rows of one run into a history table; a run that is repeated replaces its own rows and no others.
+
+    Write, audit, publish: the rows go to a folder of their own, what was written is read back and must have the count and the digest
+    that were taken while writing, and only then the catalog is pointed there. The table has a partition for each ``run_datetime`` and
+    ``sub_task``. Returns the audited ``rows`` and ``digest``.
+    """
+    spark = df.sparkSession
+    rows = flatten_nested(snapshot_rows(df, run_datetime, sub_task))
+    keys = ["run_datetime", "sub_task"]
+    create_table(rows, table, partition_by=keys)
+    if partition_columns(spark, table) != keys:
+        raise ValueError(f"table {table} has no partition for each run and task")
+    aligned = _aligned(rows, table)
+    path = _new_version(spark, table)
+    digest = F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in aligned.columns if c not in keys]))
+    marks = [F.count(F.lit(1)).alias("rows"), F.coalesce(digest, F.lit(0)).alias("digest")]
+    seen = Observation()
+    aligned.observe(seen, *marks).write.partitionBy(*keys).parquet(path)
+    moment = spark.range(1).select(F.lit(run_datetime).cast("timestamp_ntz").cast("string")).first()[0]
+    spec = {"run_datetime": moment, "sub_task": sub_task}
+    published = _moves_to(spark, table, path, [s for s in partitions(spark, table) if s == spec])
+    folders = [p["to"] for p in published if p["to"]]
+    written = spark.read.schema(aligned.drop(*keys).schema).parquet(*folders).agg(*marks).first().asDict() if folders else {"rows": 0, "digest": 0}
+    if written != seen.get:
+        raise OSError(f"run {sub_task} of {run_datetime}: wrote {seen.get}, found {written}; nothing is published")
+    _commit(spark, [{"table": table, "location": None, "partitions": published}] if published else [])
+    return written
+
+
 def archive_database(
     spark: SparkSession, database: str, folder: str, day: str, protected: Iterable[str] = ()
 ) -> list[str]:

@@ -4,14 +4,16 @@ Spark rows have no order, so every operator names the columns that order them.
 Nothing here puts a whole table, or a group of unknown size, into one task:
 
 * positions come from a parallel sort, a counter per task and one count per task;
+* single positions are found by selection: only the order's columns are read and nothing is written;
 * ranks and numbers are a running count over sorted values, whatever the groups'
   sizes; a plain window is used only where the caller says that groups are small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +22,16 @@ from ..session import materialize
 
 COUNTER_BITS = 33  # monotonically_increasing_id: task number above, row counter below
 
-Keys = Sequence[str | Column]
+Keys = Sequence[str | Column | tuple[str, str]]  # a name, an expression, or (name, "asc" | "desc")
 
 
 def as_columns(keys: Keys) -> list[Column]:
-    return [F.col(k) if isinstance(k, str) else k for k in keys]
+    def one(key: str | Column | tuple[str, str]) -> Column:
+        if isinstance(key, tuple):
+            return _sort_key(F.col(key[0]), key[1] == "desc")
+        return F.col(key) if isinstance(key, str) else key
+
+    return [one(k) for k in keys]
 
 
 def _task_of(counter: str) -> Column:
@@ -176,3 +183,147 @@ def sort_by(df: DataFrame, keys: Sequence[tuple[str | int, str]], tie_break: Key
             raise ValueError(f"order must be 'asc' or 'desc', not {order!r}")
         orders.append(_sort_key(F.col(_name(df, key)), order.lower() == "desc"))
     return df.orderBy(*orders, *as_columns(tie_break))
+
+
+# --- single positions, without sorting the table
+
+SPLITTERS = 128  # keys that cut a range into smaller ones
+SMALL_RANGE = 100_000  # rows of a range that are sorted to find a position in it
+SINGLE_POSITIONS = 64  # more positions than this are found by one sort of the whole table
+
+
+class Place(NamedTuple):
+    """Where a position is: its key, and its number among the rows with that key."""
+
+    key: tuple
+    offset: int
+    ties: int
+
+
+def directed(keys: Keys) -> list[tuple[str, bool]] | None:
+    """(name, descending) of each key; None if one of them is an expression, which cannot be compared with a value."""
+    if not keys or any(isinstance(k, Column) for k in keys):
+        return None
+    return [(k, False) if isinstance(k, str) else (k[0], k[1] == "desc") for k in keys]
+
+
+def key_is(df: DataFrame, order: list[tuple[str, bool]], key: tuple) -> Column:
+    """Rows with that key; the scan can skip the others."""
+    tests = []
+    for (name, _), value in zip(order, key):
+        column = F.col(name)
+        tests.append(column.isNull() if value is None else column.eqNullSafe(F.lit(value).cast(df.schema[name].dataType)))
+    return reduce(Column.__and__, tests)
+
+
+def _after(df: DataFrame, order: list[tuple[str, bool]], key: tuple) -> Column:
+    """Rows that come after a key in the order; NULL is lowest."""
+    (name, desc), value = order[0], key[0]
+    column, kind = F.col(name), df.schema[name].dataType
+    if value is None:
+        later, same = F.lit(False) if desc else column.isNotNull(), column.isNull()
+    else:
+        bound = F.lit(value).cast(kind)
+        later = (column < bound) | column.isNull() if desc else column > bound
+        later, same = F.coalesce(later, F.lit(False)), F.coalesce(column == bound, F.lit(False))
+    return later | (same & _after(df, order[1:], key[1:])) if len(order) > 1 else later
+
+
+def _range_of(df: DataFrame, order: list[tuple[str, bool]], splitters: list[tuple]) -> Column:
+    """2 i for the rows between two splitters, 2 i + 1 for those with the key of splitter i; a binary search."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(2 * low)
+        middle = (low + high) // 2
+        here = F.when(_after(df, order, splitters[middle]), search(middle + 1, high))
+        return here.when(key_is(df, order, splitters[middle]), F.lit(2 * middle + 1)).otherwise(search(low, middle))
+
+    return search(0, len(splitters))
+
+
+def _splitters(rows: DataFrame, order: list[tuple[str, bool]], count: int) -> list[tuple]:
+    """A bounded number of keys from everywhere in ``rows``, in order."""
+    names = [n for n, _ in order]
+    parts, want = 1 << 30, 16 * SPLITTERS
+    share = F.pmod(F.xxhash64(*names), F.lit(parts)) < max(1, int(parts * want / count))
+    keys = [tuple(r) for r in rows.where(share).distinct().limit(4 * want).orderBy(*as_columns(_keys(order))).collect()]
+    if not keys:  # few keys, each with many rows
+        keys = [tuple(r) for r in rows.limit(1).collect()]
+    step = max(1, len(keys) // SPLITTERS)
+    return keys[step // 2 :: step]
+
+
+def _keys(order: list[tuple[str, bool]]) -> Keys:
+    return [(name, "desc" if desc else "asc") for name, desc in order]
+
+
+def places_of(df: DataFrame, positions: Iterable[int], order_by: Keys) -> dict[int, Place]:
+    """The key at each of a few positions of an order, found by selection: positions past the end have none.
+
+    Only the order's columns are read. Sampled keys cut the rows into ranges, one pass counts the rows of each range, and only
+    ranges that hold a position are looked into; one of at most ``SMALL_RANGE`` rows is sorted. Rows of one key are counted
+    and never sorted, however many they are. Nothing is written.
+    """
+    order = directed(order_by)
+    rows = df.select(*[n for n, _ in order])
+    found: dict[int, Place] = {}
+    todo = [(F.lit(True), 0, rows.count(), sorted(set(positions)))]
+    while todo:
+        inside, before, count, wanted = todo.pop()
+        wanted = [p for p in wanted if p < before + count]
+        if not wanted:
+            continue
+        part = rows.where(inside)
+        if count <= SMALL_RANGE:
+            # at most SMALL_RANGE rows: the window without partitions is bounded
+            keys = part.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("ties#"))
+            upto = F.sum("ties#").over(Window.orderBy(*as_columns(_keys(order))).rowsBetween(Window.unboundedPreceding, 0))
+            spans = keys.withColumn("end#", upto)
+            offsets = [p - before for p in wanted]
+            hit = reduce(Column.__or__, [(F.col("end#") > o) & (F.col("end#") - F.col("ties#") <= o) for o in offsets])
+            for r in spans.where(hit).collect():
+                start = before + r["end#"] - r["ties#"]
+                for p in wanted:
+                    if start <= p < before + r["end#"]:
+                        found[p] = Place(tuple(r[: len(order)]), p - start, r["ties#"])
+            continue
+        splitters = _splitters(part, order, count)
+        range_ = _range_of(rows, order, splitters)
+        sizes = {r["r"]: r["n"] for r in part.groupBy(range_.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for r in range(2 * len(splitters) + 1):
+            n = sizes.get(r, 0)
+            here = [p for p in wanted if before <= p < before + n]
+            if here and r % 2:
+                found.update({p: Place(splitters[r // 2], p - before, n) for p in here})
+            elif here:
+                low = _after(rows, order, splitters[r // 2 - 1]) if r else F.lit(True)
+                high = ~_after(rows, order, splitters[r // 2]) & ~key_is(rows, order, splitters[r // 2]) if r // 2 < len(splitters) else F.lit(True)
+                todo.append((inside & low & high, before, n, here))
+            before += n
+    return found
+
+
+def last_place(df: DataFrame, order_by: Keys) -> Place | None:
+    """The key of the last row of an order: one pass, no sort."""
+    order = directed(order_by)
+    back = [F.col(n).asc_nulls_first() if desc else F.col(n).desc_nulls_last() for n, desc in order]
+    key = df.select(*[n for n, _ in order]).orderBy(*back).limit(1).collect()
+    if not key:
+        return None
+    ties = df.where(key_is(df, order, tuple(key[0]))).count()
+    return Place(tuple(key[0]), ties - 1, ties)
+
+
+def split_at(df: DataFrame, places: Iterable[Place], order_by: Keys) -> tuple[DataFrame, DataFrame]:
+    """(other rows, the rows at ``places``). Of rows with the same key, the numbers go by their content."""
+    order, places = directed(order_by), list(places)
+    if not places:
+        return df, df.where(F.lit(False))
+    among = reduce(Column.__or__, [key_is(df, order, key) for key in {p.key for p in places}])
+    if all(p.ties == 1 for p in places):
+        return df.where(~among), df.where(among)
+    number = "number#"
+    tied = numbered(df.where(among), [n for n, _ in order], [F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))], number)
+    wanted = reduce(Column.__or__, [key_is(df, order, p.key) & (F.col(number) == p.offset + 1) for p in places])
+    return df.where(~among).union(tied.where(~wanted).drop(number)), tied.where(wanted).drop(number)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import Keys, as_columns, numbered, with_position
+from .ordering import SINGLE_POSITIONS, Keys, as_columns, directed, last_place, numbered, places_of, split_at, with_position
 
 COMPARISONS = {
     "==": operator.eq,
@@ -87,31 +87,38 @@ def drop_rows_where(df: DataFrame, conditions: Sequence[Condition], nulls: str =
     return df.where(~reduce(Column.__and__, [_condition(df, c, nulls) for c in conditions]))
 
 
-def _at(df: DataFrame, positions: Iterable[int], order_by: Keys, keep: bool) -> DataFrame:
+def _split(df: DataFrame, positions: Iterable[int], order_by: Keys) -> tuple[DataFrame, DataFrame]:
+    """(rows at other positions, rows at ``positions``)."""
     wanted = sorted(set(positions))
-    name = "__position"
-    placed = with_position(df, order_by, name)
     if any(p < 0 for p in wanted):
         raise IndexError("positions start at 0")
+    if directed(order_by) and len(wanted) <= SINGLE_POSITIONS:
+        return split_at(df, places_of(df, wanted, order_by).values(), order_by)
+    name = "__position"
+    placed = with_position(df, order_by, name)
     test = F.col(name).isin(wanted)
-    return placed.where(test if keep else ~test).drop(name)
+    return placed.where(~test).drop(name), placed.where(test).drop(name)
 
 
 def drop_rows(df: DataFrame, positions: Iterable[int], order_by: Keys) -> DataFrame:
-    """Rows not at the given positions of the given order."""
-    return _at(df, positions, order_by, keep=False)
+    """Rows not at the given positions of the given order.
+
+    Up to 64 positions of an order by columns (names, or name and direction) are found by selection, so only the order's
+    columns are looked at and no row moves. More positions, and orders by expressions, take one sort.
+    """
+    return _split(df, positions, order_by)[0]
 
 
 def pop_rows(df: DataFrame, positions: Iterable[int], order_by: Keys) -> tuple[DataFrame, DataFrame]:
-    """(rest, taken out): both sides of :func:`drop_rows`, over one sort."""
-    name = "__position"
-    placed = with_position(df, order_by, name)
-    test = F.col(name).isin(sorted(set(positions)))
-    return placed.where(~test).drop(name), placed.where(test).drop(name)
+    """(rest, taken out): both sides of :func:`drop_rows`."""
+    return _split(df, positions, order_by)
 
 
 def pop_last(df: DataFrame, order_by: Keys) -> tuple[DataFrame, DataFrame]:
     """(rest, last row) in the order of ``order_by``."""
+    if directed(order_by):
+        place = last_place(df, order_by)
+        return split_at(df, [place] if place else [], order_by)
     name = "__position"
     placed = with_position(df, order_by, name)
     last = placed.agg(F.max(name)).scalar()
@@ -120,7 +127,7 @@ def pop_last(df: DataFrame, order_by: Keys) -> tuple[DataFrame, DataFrame]:
 
 
 def row_at(df: DataFrame, position: int, order_by: Keys) -> DataFrame:
-    return _at(df, [position], order_by, keep=True)
+    return _split(df, [position], order_by)[1]
 
 
 def append_rows(df: DataFrame, rows: DataFrame | Sequence[Sequence]) -> DataFrame:

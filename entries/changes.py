@@ -105,6 +105,15 @@ def snapshot_append(spark, sf):
     return spark.table(name)
 
 
+def snapshot_repeated(spark, sf):
+    """Two tasks of two runs; one run is repeated with other rows and keeps only those."""
+    name = fresh_table(spark, "history")
+    o = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    for day, task, rest in ((1, "north", 0), (1, "south", 1), (2, "north", 2), (1, "north", 3), (1, "north", 3)):
+        dml.snapshot_run(o.where(F.col("o_orderkey") % 5 != rest), name, datetime.datetime(2024, 3, day, 6), task)
+    return spark.table(name)
+
+
 def archive(spark, sf):
     """Every table that is not protected goes to the archive folder; rows per archived table."""
     database = fresh_table(spark, "shard").replace(".", "_")
@@ -181,6 +190,7 @@ QUERIES = {
     "rename_table": rename_table,
     "drop_tables": drop_tables,
     "snapshot_append": snapshot_append,
+    "snapshot_repeated": snapshot_repeated,
     "archive_shard": archive,
     "stored_delete_update": stored_delete,
     "stored_expire": stored_expire,
@@ -225,6 +235,9 @@ SQL = {
         FROM orders WHERE o_orderkey % 3 <> 1
         UNION ALL SELECT TIMESTAMP '2024-03-02 06:00:00', t, o_orderkey, o_totalprice
         FROM orders, (VALUES ('north'), ('south')) v(t) WHERE o_orderkey % 3 <> 2""",
+    "snapshot_repeated": """
+        SELECT TIMESTAMP '2024-03-01 06:00:00' + to_days(d) AS run_datetime, t AS sub_task, o_orderkey, o_totalprice
+        FROM orders, (VALUES (0, 'north', 3), (0, 'south', 1), (1, 'north', 2)) v(d, t, k) WHERE o_orderkey % 5 <> k""",
     "archive_shard": """
         SELECT 'customer' AS "table", count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders""",
     "stored_delete_update": """

@@ -40,12 +40,12 @@ POSITIONS = [0, 3, 10, 10, 555, 1400]
 
 def drop_rows_at(spark, sf):
     orders = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return R.drop_rows(orders, POSITIONS, [F.col("o_totalprice").desc(), "o_orderkey"])
+    return R.drop_rows(orders, POSITIONS, [("o_totalprice", "desc"), "o_orderkey"])
 
 
 def pop_rows_at(spark, sf):
     orders = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return R.pop_rows(orders, POSITIONS, [F.col("o_totalprice").desc(), "o_orderkey"])[1]
+    return R.pop_rows(orders, POSITIONS, [("o_totalprice", "desc"), "o_orderkey"])[1]
 
 
 def pop_last_row(spark, sf):

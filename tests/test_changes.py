@@ -1,4 +1,5 @@
 import datetime
+from urllib.parse import unquote
 
 import pytest
 from helpers import rows, values
@@ -353,3 +354,25 @@ def test_a_change_that_breaks_off_before_its_record_changes_nothing(spark, datab
         dml.delete_stored(spark, name, [("p", 1)])
     assert rows(spark.table(name)) == rows(df) and dml.recover(spark, database) == 0
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_repeated_run_replaces_its_own_rows(spark, database, monkeypatch):
+    name = f"{database}.runs"
+    df = spark.range(10)
+    one, two = datetime.datetime(2024, 1, 1, 6), datetime.datetime(2024, 1, 2)
+    first = dml.snapshot_run(df, name, one, "a/b")
+    assert first["rows"] == 10 and dml.snapshot_run(df, name, one, "a/b") == first
+    dml.snapshot_run(df.where("id < 3"), name, one, "c")
+    dml.snapshot_run(df.where("id < 2"), name, two, "a/b")
+    counts = lambda: {(r.sub_task, r.run_datetime.day): r["count"] for r in spark.table(name).groupBy("sub_task", "run_datetime").count().collect()}
+    assert counts() == {("a/b", 1): 10, ("c", 1): 3, ("a/b", 2): 2}
+    # files that are not what was written are not published
+    real, other = dml._moves_to, unquote(spark.table(name).inputFiles()[0].rsplit("/", 1)[0])
+    monkeypatch.setattr(dml, "_moves_to", lambda *args: [{**p, "to": other} for p in real(*args)])
+    with pytest.raises(OSError):
+        dml.snapshot_run(df.where("id = 7"), name, one, "a/b")
+    monkeypatch.setattr(dml, "_moves_to", real)
+    assert counts() == {("a/b", 1): 10, ("c", 1): 3, ("a/b", 2): 2}
+    dml.snapshot_run(df.where("id > 100"), name, one, "a/b")
+    assert counts() == {("c", 1): 3, ("a/b", 2): 2}
+    spark.sql(f"DROP TABLE {name}")

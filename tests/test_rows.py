@@ -99,6 +99,50 @@ def test_positions_dropped_and_popped(spark):
         R.row_at(df, -1, ["c"])
 
 
+def test_positions_by_selection_equal_those_of_a_sort(spark, monkeypatch):
+    """Ties, NULLs, a key with most of the rows, both directions; ranges so small that several rounds are needed."""
+    import random
+
+    monkeypatch.setattr(O, "SMALL_RANGE", 40)
+    monkeypatch.setattr(O, "SPLITTERS", 4)
+    rng = random.Random(3)
+    data = [(rng.choice([None, 1.5, 7.0, *map(float, range(40))]), rng.choice([None, "a", "b"]), i) for i in range(500)] + [(7.0, "a", -1)] * 400
+    df = spark.createDataFrame(data, "v double, s string, i int").repartition(5)
+
+    def ordered(desc):
+        by_content = sorted(data, key=repr)
+        by_s = sorted(by_content, key=lambda r: r[1] or "")  # NULL is lowest
+        if desc:
+            return sorted(by_s, key=lambda r: (1, 0) if r[0] is None else (0, -r[0]))
+        return sorted(by_s, key=lambda r: (0, 0) if r[0] is None else (1, r[0]))
+
+    for desc in (True, False):
+        order = [("v", "desc" if desc else "asc"), "s"]
+        model = ordered(desc)
+        positions = [0, 57, 300, 650, 899]
+        places = O.places_of(df, [*positions, 900, 5000], order)
+        assert {p: places[p].key for p in places} == {p: model[p][:2] for p in positions}
+        rest, out = R.pop_rows(df, positions, order)
+        assert sorted(((r.v, r.s) for r in out.collect()), key=repr) == sorted((model[p][:2] for p in positions), key=repr)
+        assert rows(rest.union(out)) == rows(df)
+        assert R.drop_rows(df, positions, order).count() == 900 - len(positions)
+        last = R.pop_last(df, order)[1].collect()
+        assert [tuple(r)[:2] for r in last] == [model[-1][:2]]
+    assert R.row_at(df, 900, ["v", "s"]).count() == 0 and R.pop_last(df.limit(0), ["v"])[1].count() == 0
+    unique = [("i", "desc"), "v", "s"]
+    assert [tuple(r) for r in R.row_at(df.where("i >= 0"), 0, unique).collect()] == [data[499]]
+
+
+def test_a_position_is_fetched_by_its_key(spark, tmp_path):
+    """Nothing is written, and the scan gets the key."""
+    path = str(tmp_path / "t")
+    spark.range(2000).selectExpr("id", "repeat('x', 100) AS wide").write.parquet(path)
+    df = spark.read.parquet(path)
+    got = R.row_at(df, 777, ["id"])
+    plan = got._jdf.queryExecution().toString()
+    assert values(got) == [777] and "PushedFilters: [EqualNullSafe(id,777)]" in plan and "Exchange" not in plan
+
+
 def test_append_rows(spark):
     df = spark.createDataFrame([(1, 2.0)], "a long, b double")
     assert rows(R.append_rows(df, [(2, None)])) == [(1, 2.0), (2, None)]
