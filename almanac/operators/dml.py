@@ -535,36 +535,48 @@ def snapshot_append(df: DataFrame, table: str, run_datetime, sub_task: str, over
         write_table(rows, table, partition_by=["run_datetime"])
 
 
-def snapshot_run(df: DataFrame, table: str, run_datetime, sub_task: str) -> dict[str, int]:
-    """Put the rows of one run into a history table; a run that is repeated replaces its own rows and no others.
+def put_partition(df: DataFrame, table: str, values: Mapping[str, object]) -> dict[str, int]:
+    """Make ``df`` the rows of one partition of a stored table, whatever it held; no other partition is touched.
 
     Write, audit, publish: the rows go to a folder of their own, what was written is read back and must have the count and the digest
-    that were taken while writing, and only then the catalog is pointed there. The table has a partition for each ``run_datetime`` and
-    ``sub_task``. Returns the audited ``rows`` and ``digest``.
+    that were taken while writing, and only then the catalog is pointed there. So it may be done again, and a broken write leaves the
+    table as it was. ``values`` are those of all partition columns, which ``df`` has too. A table that does not exist is created. No rows: the partition goes.
+    Returns the audited ``rows`` and ``digest``.
     """
     spark = df.sparkSession
-    rows = flatten_nested(snapshot_rows(df, run_datetime, sub_task))
-    keys = ["run_datetime", "sub_task"]
+    rows, keys = flatten_nested(df), list(values)
     create_table(rows, table, partition_by=keys)
     if partition_columns(spark, table) != keys:
-        raise ValueError(f"table {table} has no partition for each run and task")
+        raise ValueError(f"table {table} is not partitioned by {keys}")
     aligned = _aligned(rows, table)
     path = _new_version(spark, table)
     digest = F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in aligned.columns if c not in keys]))
     marks = [F.count(F.lit(1)).alias("rows"), F.coalesce(digest, F.lit(0)).alias("digest")]
     seen = Observation()
     aligned.observe(seen, *marks).write.partitionBy(*keys).parquet(path)
-    moment = spark.range(1).select(F.lit(run_datetime).cast("timestamp_ntz").cast("string")).first()[0]
-    spec = {"run_datetime": moment, "sub_task": sub_task}
+    texts = spark.range(1).select(*[F.lit(v).cast(aligned.schema[c].dataType).cast("string").alias(c) for c, v in values.items()])
+    spec = texts.first().asDict()
     published = _moves_to(spark, table, path, [s for s in partitions(spark, table) if s == spec])
+    if any(p["spec"] != spec for p in published):
+        raise ValueError(f"rows of {table} are not all in partition {spec}")
     folders = [p["to"] for p in published if p["to"]]
     written = spark.read.schema(aligned.drop(*keys).schema).parquet(*folders).agg(*marks).first().asDict() if folders else {"rows": 0, "digest": 0}
     if written != seen.get:
-        raise OSError(f"run {sub_task} of {run_datetime}: wrote {seen.get}, found {written}; nothing is published")
+        raise OSError(f"{table} {spec}: wrote {seen.get}, found {written}; nothing is published")
     _commit(spark, [{"table": table, "location": None, "partitions": published}] if published else [])
     return written
 
 
+def snapshot_run(df: DataFrame, table: str, run_datetime, sub_task: str) -> dict[str, int]:
+    """:func:`put_partition` of one run into a history table, which has a partition for each ``run_datetime`` and ``sub_task``.
+
+    A run that is repeated replaces its own rows and no others.
+    """
+    values = {"run_datetime": run_datetime, "sub_task": sub_task}
+    rows = snapshot_rows(df, run_datetime, sub_task)
+    return put_partition(rows, table, values)
+
+
 def archive_database(
     spark: SparkSession, database: str, folder: str, day: str, protected: Iterable[str] = ()
 ) -> list[str]:

@@ -14,6 +14,7 @@ from almanac.sources.encoding import from_unicode, read_lines_any_encoding, to_a
 from almanac.sources.folders import read_lines
 from almanac.sources.tables import from_select
 from almanac.sources.textreport import LineRule, parse_lines, read_report
+from almanac.streaming.reports import follow_reports, forget_last_commit
 from almanac.operators.sql import from_sql
 
 from .tables import DATABASE, fresh_table, read
@@ -107,20 +108,54 @@ def _typed(parsed):
 
 
 def parse_text_files(spark, sf):
-    """Reports written as text files, one per status and store group, in dated folders; the latest is parsed."""
+    """Reports written as text files, one per status and store, in dated folders; the latest is parsed."""
     folder = scratch_path(spark, "reports")
+    lines = _store_reports(spark, sf)
+    for day, part in (("2001.07.01", lines.where(F.col("store") < 3)), ("2001.08.01", lines)):
+        _print_reports(part, f"{folder}/{day}")
+    return _typed(read_report(spark, folder, HEADER, RULES, "amount", mode="latest", file_rule=REPORT_FILES))
+
+
+REPORT_FILES = r"(?i)part-.*\.txt"
+
+
+def _store_reports(spark, sf):
+    """The report lines with the run's first line in the report of every store."""
     lines = _report_lines(spark, sf)
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))).alias("store")
+    runs = lines.where(F.col("store") < 0).select("file", every, F.lit(-2).cast("bigint").alias("n"), "text")
+    return lines.where(F.col("store") >= 0).union(runs)
+
+
+def _print_reports(lines, folder):
+    """A text file for each status and store, written by as many tasks."""
+    # sorted by the folder columns first, so the writer does not sort again
+    (
+        lines.withColumn("status", F.concat("file", F.lit("_report")))
+        .repartition("status", "store")
+        .sortWithinPartitions("status", "store", "n")
+        .select("status", "store", "text")
+        .write.partitionBy("status", "store")
+        .text(folder)
+    )
+
+
+def reports_as_they_arrive(spark, sf):
+    """Two days of reports, each taken up after it has come; then the last batch is repeated, as after a failure."""
+    folder, checkpoint, name = scratch_path(spark, "arriving"), scratch_path(spark, "arriving-checkpoint"), fresh_table(spark, "arrived")
+    lines = _store_reports(spark, sf)
+
+    def take_up():
+        query = follow_reports(spark, folder, name, checkpoint, HEADER, RULES, "amount", REPORT_FILES)
+        query.awaitTermination()
+        return query
+
     for day, part in (("2001.07.01", lines.where(F.col("store") < 3)), ("2001.08.01", lines)):
-        # sorted by the folder column first, so the writer does not sort again
-        (
-            part.withColumn("status", F.concat("file", F.lit("_report")))
-            .repartition("status")
-            .sortWithinPartitions("status", "store", "n")
-            .select("status", "text")
-            .write.partitionBy("status")
-            .text(f"{folder}/{day}")
-        )
-    return _typed(read_report(spark, folder, HEADER, RULES, "amount", mode="latest", file_rule=r"(?i)part-.*\.txt"))
+        _print_reports(part, f"{folder}/{day}")
+        take_up()
+    forget_last_commit(spark, checkpoint)
+    take_up()
+    return _typed(spark.table(name))
 
 
 def parse_text_lines(spark, sf):
@@ -228,6 +263,7 @@ QUERIES = {
     "from_select": select_table,
     "from_sql": sql_with_values,
     "parse_text_files": parse_text_files,
+    "reports_as_they_arrive": reports_as_they_arrive,
     "parse_text_lines": parse_text_lines,
     "parse_text_documents": parse_documents,
     "dated_folders": dated_folders,
@@ -256,6 +292,7 @@ SQL = {
     "from_sql": """
         SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45""",
     "parse_text_files": _REPORT,
+    "reports_as_they_arrive": f"SELECT * FROM ({_REPORT}) UNION ALL SELECT * FROM ({_REPORT}) WHERE store < 3",
     "parse_text_lines": _REPORT,
     "parse_text_documents": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from almanac.session import materialize, scratch_path, shared_dir
 from almanac.sources import catalog, folders, tables
 from almanac.sources.csv import read_csv, write_csv
+from almanac.streaming.reports import follow_reports, forget_last_commit
 from almanac.sources.encoding import from_unicode, read_lines_any_encoding, read_text_any_encoding, to_ascii, to_unicode
 from almanac.sources.textreport import LineRule, parse_lines, read_report, total_level, total_name
 
@@ -217,6 +218,38 @@ def test_encodings(spark, tmp_path):
     assert got == {k: v[2] for k, v in data.items() if v[0]}  # an empty file has no row
 
 
+def test_reports_that_arrive_are_taken_up_once(spark, tmp_path):
+    """Files added between runs, several batches in a run, and repeated batches, against one read of all files."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS arriving LOCATION '{tmp_path / 'db'}'")
+    rules, header = [LineRule(r"^S (\w+)", 1), LineRule(r"^(\d+) (\d+)$", 2)], [("store", True), ("no", False), ("amount", False)]
+    folder, checkpoint, name = tmp_path / "in", str(tmp_path / "cp"), "arriving.rows"
+
+    def add(day, file, text):
+        (folder / day).mkdir(parents=True, exist_ok=True)
+        (folder / day / file).write_text(text)
+
+    def take_up():
+        follow_reports(spark, str(folder), name, checkpoint, header, rules, "amount", files_per_batch=2).awaitTermination()
+        got = spark.table(name)
+        assert got.groupBy("batch").count().count() == len(got.select("batch").distinct().collect())
+        return rows(got.select("store", "no", "amount"))
+
+    def once():
+        return rows(read_report(spark, str(folder), header, rules, "amount", mode="all"))
+
+    for i in range(5):
+        add("2024.01.01", f"a{i}.txt", f"S s{i}\n1 {i + 1}\n2 0\n3 4\n")
+    add("2024.01.01", "held.txt", "7 7\nS late\n8 8\n")
+    add("2024.01.01", "notes.md", "S no\n1 1\n")
+    assert take_up() == once() and len(once()) == 12
+    assert take_up() == once()
+    add("2024.01.02", "b.txt", "5 5\n")  # nothing is held from another file
+    assert take_up() == once() and (None, "5", "5") in once()
+    forget_last_commit(spark, checkpoint)
+    assert take_up() == once()
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_lines_of_files_in_any_encoding(spark, tmp_path):
     """Files are split over tasks, and what decides is at other ends of them."""
     body = [f"line {i} with é and ü" for i in range(4000)]
