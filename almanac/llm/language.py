@@ -21,6 +21,9 @@ EMBEDDING = 8
 BATCH_WINDOWS = 24
 #: Texts whose best language scores less are in none of the learned ones, or in several at once.
 ACCEPT = 0.4
+#: Letter sequences count as known if so many windows of the sample have them. A text may have this many times as many unknown ones as the
+#: hundredth part of the known windows with the most has.
+SEEN, SLACK = 2, 8
 
 
 class Network(NamedTuple):
@@ -34,6 +37,13 @@ class Network(NamedTuple):
     out: np.ndarray
 
 
+class Familiar(NamedTuple):
+    """Three letters in a row (as bytes) that known languages have, and the share of those of a text that must be among them."""
+
+    known: np.ndarray
+    least: float
+
+
 def windows_of(text: str) -> np.ndarray:
     """The whole lower-cased text as rows of WINDOW bytes, the last one padded."""
     data = np.frombuffer(text.lower().encode(), dtype=np.uint8)
@@ -117,6 +127,36 @@ def train(rows: np.ndarray, labels: list[str], epochs: int = 8, batch: int = 64,
     return Network(langs, p["emb"], p["conv"], p["bias"], p["dense"], p["out"])
 
 
+def letter_triples(text: str) -> np.ndarray:
+    """All three successive bytes of letters of the lower-cased text, as numbers; each byte above 127 counts as a letter."""
+    data = np.frombuffer(text.lower().encode(), dtype=np.uint8)
+    letter = ((data >= 97) & (data <= 122)) | (data > 127)
+    wide = data.astype(np.int32)
+    return ((wide[:-2] << 16) | (wide[1:-1] << 8) | wide[2:])[letter[:-2] & letter[1:-1] & letter[2:]]
+
+
+def learn_familiar(texts: list[str]) -> Familiar:
+    """Known triples from ``texts``; the least share from how many triples of one half of them the other half does not have."""
+
+    def known(some: list[str]) -> np.ndarray:
+        counts = np.zeros(1 << 24, np.int32)
+        for t in some:
+            counts[np.unique(letter_triples(t))] += 1
+        return counts >= SEEN
+
+    half, triples = known(texts[::2]), [letter_triples(t) for t in texts[1::2]]
+    shares = [half[x].mean() for x in triples if len(x)]
+    least = 1 - SLACK * (1 - float(np.quantile(shares, 0.01))) if shares else 0.0
+    return Familiar(np.flatnonzero(known(texts)), max(0.0, least))
+
+
+def is_familiar(known: np.ndarray, least: float, text: str) -> bool:
+    """Whether a whole text has few enough unknown triples, with room for chance in short ones; ``known`` has a flag for each triple."""
+    triples = letter_triples(text)
+    n = len(triples)
+    return bool(n - np.count_nonzero(known[triples]) <= (1 - least) * n + 2 * np.sqrt(n * least * (1 - least)))
+
+
 def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> Network | None:
     """Train on a bounded sample: about ``docs_per_language`` rows of each language, chosen by a hash.
 
@@ -124,10 +164,15 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> Ne
     used. Rows that are held out, have a null language or no text are never learned from. No such row
     at all: None.
     """
+    return fit_with_familiar(docs, docs_per_language)[0]
+
+
+def fit_with_familiar(docs: DataFrame, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> tuple[Network | None, Familiar | None]:
+    """:func:`fit`, and from the same sample what texts in the learned languages look like, to tell those in others."""
     rows = docs.select("doc_id", "text", "lang").where(may_learn() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return None
+        return None, None
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, docs_per_language / n)).otherwise(share)
@@ -137,8 +182,9 @@ def fit(docs: DataFrame, docs_per_language: int = TRAIN_DOCS_PER_LANGUAGE) -> Ne
     cut = few.select("lang", F.explode(F.array_distinct(F.array(*(F.substr("text", s, F.lit(WINDOW)) for s in starts)))).alias("t"))
     sample = sorted((r.lang, r.t) for r in cut.collect())
     if not sample:
-        return None
-    return train(np.concatenate([windows_of(t)[:1] for _, t in sample]), [lang for lang, _ in sample])
+        return None, None
+    net = train(np.concatenate([windows_of(t)[:1] for _, t in sample]), [lang for lang, _ in sample])
+    return net, learn_familiar([t for _, t in sample])
 
 
 def classify(net: Network | None, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -193,14 +239,23 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type(docs)}, held_out boolean, lang_pred string, score double")
 
 
-def in_known_language(docs: DataFrame, net: Network | None, least: float = ACCEPT) -> DataFrame:
-    """The rows and columns of ``docs`` whose text is in a learned language with a score of at least ``least``."""
+def in_known_language(docs: DataFrame, net: Network | None, familiar: Familiar | None = None, least: float = ACCEPT) -> DataFrame:
+    """The rows and columns of ``docs`` whose text is in a learned language with a score of at least ``least``.
+
+    The network only tells learned languages from each other, so it gives one of them to any text. Texts in others are told by ``familiar``: more of
+    their letter sequences are unknown than learned languages account for. Texts without letters go.
+    """
     python_tasks(docs.sparkSession)
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << 24, bool)
+        if familiar:
+            known[familiar.known] = True
         for batch in batches:
-            best, score = classify(net, [t.as_py() or "" for t in batch.column(text)])
+            texts = [t.as_py() or "" for t in batch.column(text)]
+            ours = [familiar is None or is_familiar(known, familiar.least, t) for t in texts]
+            best, score = classify(net, [t if o else "" for t, o in zip(texts, ours, strict=True)])
             yield batch.filter(pa.array([b != "und" and s >= least for b, s in zip(best, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

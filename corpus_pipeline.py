@@ -14,7 +14,7 @@ from almanac.session import materialize
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach; the others go."""
-    return language.in_known_language(docs, language.fit(docs))
+    return language.in_known_language(docs, *language.fit_with_familiar(docs))
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
