@@ -17,6 +17,8 @@ from almanac.session import materialize
 #: Bytes of the first digit; each later one has four times as many, up to the largest.
 FIRST_DIGIT = 64
 LARGEST_DIGIT = 1 << 20
+#: Bytes of a node's texts up to which one task splits it alone.
+TASK_BYTES = 32 << 20
 
 
 def next_digit(at: int, width: int) -> tuple[int, int]:
@@ -81,34 +83,97 @@ def _digit(body: Column, at: int, width: int) -> Column:
     return F.substring(body, at + 1, width).alias("digit")
 
 
-def equal_texts(texts: DataFrame) -> DataFrame | None:
-    """``rid, node``: rows of ``texts`` (``rid, size, body``) that equal another one; equal rows have the same ``node``.
+def _next_nodes(now: DataFrame) -> DataFrame:
+    """``rid, size, node, n`` of the rows of ``now`` (``rid, size, node, digit``) whose next node holds ``n > 1`` of them.
+
+    Digits are counted per node, which combines before the shuffle.
+    """
+    keys = ["size", "node", "digit"]
+    nodes = now.groupBy(*keys).agg(F.min("rid").alias("next"), F.count("*").alias("n")).where("n > 1")
+    # Nodes grow with the data and carry digits, so they are never sent to all tasks: one plan at every size.
+    return materialize(now.join(nodes.hint("merge"), keys).select("rid", "size", F.col("next").alias("node"), "n"), "nodes")
+
+
+def _split_in_tasks(rows: DataFrame, task_bytes: int) -> DataFrame:
+    """``rid, size, node, rep, copies, body``: rows (``rid, size, node, n, body``) compared with those of their node that share a task.
+
+    A node goes to one task as long as its texts have at most ``task_bytes``, or else to several. ``rep`` is an equal row of the task and
+    ``copies`` how many the task has. Where a task did not see all ``n`` rows of a node, ``body`` stays on one row of each text; elsewhere it is null
+    and the node is done. This is decided by counting what came, not by how it was dealt.
+    """
+    python_tasks(rows.sparkSession)
+    parts = F.ceil(F.col("n") / F.greatest(F.lit(2.0), F.lit(float(task_bytes)) / F.col("size")))
+    keys = ["size", "node", "part"]
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("rid"), parts)).repartition(*keys).sortWithinPartitions(*keys)
+
+    def split(key: tuple[int, int, int], n: int, rids: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+        first = first_equal(bodies)
+        copies = [0] * len(rids)
+        for i in first:
+            copies[i] += 1
+        todo = [None if len(rids) == n or i != at else bodies[i] for at, i in enumerate(first)]
+        numbers = [rids, [key[0]] * len(rids), [key[1]] * len(rids), [rids[i] for i in first], [copies[i] for i in first]]
+        columns = [*(pa.array(c, pa.int64()) for c in numbers), pa.array(todo, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["rid", "size", "node", "rep", "copies", "body"])
 
-    A node is a bucket of texts with the same length and the same bytes so far, named by its smallest ``rid``. Each
-    round splits all open nodes by the next digit. Nodes of one text are closed, those at the end of their texts are the groups. A round counts the digits in each
-    node, which combines before the shuffle, and sends the rows of nodes with several texts to their next node.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, rids, bodies, done = None, 0, [], [], []
+        for batch in batches:
+            size, node, part, rid, n = (batch.column(i).to_pylist() for i in range(5))
+            for i, body in enumerate(batch.column(5)):
+                if (size[i], node[i], part[i]) != key:
+                    if rids:
+                        done.append(split(key, total, rids, bodies))
+                    key, total, rids, bodies = (size[i], node[i], part[i]), n[i], [], []
+                rids.append(rid[i])
+                bodies.append(body.as_py())
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                done = []
+        if rids:
+            yield split(key, total, rids, bodies)
+
+    kinds = "rid long, size long, node long, rep long, copies long, body binary"
+    return materialize(dealt.select(*keys, "rid", "n", "body").mapInArrow(run, kinds), "split")
+
+
+def _equal_over_tasks(texts: DataFrame) -> DataFrame:
+    """``rid, node`` of the rows of ``texts`` (``rid, size, node, body``, alike up to the first digit) that equal another one, by rounds over all tasks.
+
+    Each round splits all open nodes by the next digit. Nodes of one text are closed, those at the end of their texts are the groups.
     """
-    at, width = 0, FIRST_DIGIT
-    now = texts.select("rid", "size", F.lit(0).cast("long").alias("node"), _digit(F.col("body"), at, width))
-    rest = None
+    at, width = next_digit(0, FIRST_DIGIT)
+    now = texts.select("rid", "size", "node", _digit(F.col("body"), at, width))
     groups: list[DataFrame] = []
     while True:
-        keys = ["size", "node", "digit"]
-        nodes = now.groupBy(*keys).agg(F.min("rid").alias("next"), F.count("*").alias("n")).where("n > 1").drop("n")
-        # Nodes grow with the data and carry digits, so they are never sent to all tasks: one plan at every size.
-        moved = now.join(nodes.hint("merge"), keys).select("rid", "size", F.col("next").alias("node"))
-        placed = materialize(moved, "nodes")
+        placed = _next_nodes(now)
         at, width = next_digit(at, width)
         groups.append(placed.where(F.col("size") <= at).select("rid", "node"))
-        open_rows = placed.where(F.col("size") > at)
+        open_rows = placed.where(F.col("size") > at).select("rid", "size", "node")
         if open_rows.isEmpty():
             return reduce(DataFrame.union, groups)
-        if rest is None:  # from here on only the texts that share their first digit are read
-            rest = materialize(texts.join(open_rows.select("rid"), "rid", "left_semi").select("rid", "body"), "open-texts")
-        now = open_rows.join(rest.select("rid", _digit(F.col("body"), at, width)), "rid")
+        now = open_rows.join(texts.select("rid", _digit(F.col("body"), at, width)), "rid")
 
 
-def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+def equal_texts(texts: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``rid, node``: rows of ``texts`` (``rid, size, body``) that equal another one; equal rows have the same ``node``.
+
+    A node is a bucket of texts with the same length and the same bytes so far, named by one of its ``rid``. All texts are split by length and first
+    digit. Of nodes that hold several texts and go on, the bodies move once: a node of at most ``task_bytes`` is split to its end in
+    one task. A larger one is dealt to several tasks, and one row of each text per task goes on to rounds over all tasks.
+    """
+    placed = _next_nodes(texts.select("rid", "size", F.lit(0).cast("long").alias("node"), _digit(F.col("body"), 0, FIRST_DIGIT)))
+    ended = placed.where(F.col("size") <= FIRST_DIGIT).select("rid", "node")
+    split = _split_in_tasks(texts.select("rid", "body").join(placed.where(F.col("size") > FIRST_DIGIT), "rid"), task_bytes)
+    wide = split.where("body IS NOT NULL").select("rid", "size", "node", "body")
+    if wide.isEmpty():
+        return ended.union(split.where("copies > 1").select("rid", "rep"))
+    met = _equal_over_tasks(wide).select(F.col("rid").alias("rep"), F.col("node").alias("group"))
+    joined = split.select("rid", "rep", "copies").join(met, "rep", "left").where("copies > 1 OR group IS NOT NULL")
+    return ended.union(joined.select("rid", F.coalesce("group", "rep")))
+
+
+def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: Sequence[str] | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``row`` (the id and the columns ``carry`` of the row, by default all of ``docs``), ``keep_id``, ``group_size``, ``kept`` for every row.
 
     Rows with the same text, byte for byte, are a group; null counts as an empty text. The row with the largest id stays, null ids
@@ -116,12 +181,12 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     and other columns are kept as they are; an empty table gives no rows.
 
     Texts that are read together are compared first, so of a very common text one row per batch takes part in the rounds over all
-    data. Groups are then summed before they are shuffled. What is marked moves at the end with the columns that are carried: leave
+    data. Buckets of at most ``task_bytes`` are split by one task, larger ones by rounds over all. Groups are then summed before they are shuffled. What is marked moves at the end with the columns that are carried: leave
     the text out where it is not needed.
     """
     names = docs.columns if carry is None else list(dict.fromkeys([id_column, *carry]))
     rows = numbered_rows(docs, text_column, names)
-    found = equal_texts(rows.where("rid = rep").select("rid", "size", "body"))
+    found = equal_texts(rows.where("rid = rep").select("rid", "size", "body"), task_bytes)
     linked = found.select(F.col("rid").alias("rep"), "node")
     ids = rows.select("rid", "rep", "copies", F.col("row").getField(id_column).alias("id"))
     members = ids.join(linked, "rep", "left").where("copies > 1 OR node IS NOT NULL")

@@ -82,9 +82,9 @@ def copies_model(rows):
     return sorted(want, key=repr)
 
 
-def check_copies(df):
+def check_copies(df, task_bytes=exact.TASK_BYTES):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    got = [(r.row.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.mark_copies(df).collect()]
+    got = [(r.row.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.mark_copies(df, task_bytes=task_bytes).collect()]
     assert sorted(got, key=repr) == copies_model(rows)
 
 
@@ -95,7 +95,8 @@ def test_exact_dedup_odd_rows(odd):
     assert exact.mark_copies(odd.limit(0)).collect() == []
 
 
-def test_exact_dedup_of_long_and_nearly_equal_texts(spark):
+@pytest.mark.parametrize("task_bytes", [exact.TASK_BYTES, 300_000, 1])
+def test_exact_dedup_of_long_and_nearly_equal_texts(spark, task_bytes):
     rng = random.Random(5)
     base = "".join(rng.choice("abcdef ") for _ in range(50_000))
     rows = []
@@ -103,7 +104,7 @@ def test_exact_dedup_of_long_and_nearly_equal_texts(spark):
         at = rng.choice([0, 1, 63, 64, 65, 319, 320, 321, 1343, 1344, 5440, 49_999])
         rows.append((i, base[:at] + rng.choice("xy") + base[at + 1 :] if i % 3 else base))
     rows += [(1000 + i, t) for i, t in enumerate(MEGABYTE.values())] * 2 + [(2000 + i, base[: 64 * i]) for i in range(6)]
-    check_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(16))
+    check_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), task_bytes)
 
 
 def test_radix_buckets_in_a_batch():
