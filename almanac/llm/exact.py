@@ -159,12 +159,14 @@ def equal_texts(texts: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """``rid, node``: rows of ``texts`` (``rid, size, body``) that equal another one; equal rows have the same ``node``.
 
     A node is a bucket of texts with the same length and the same bytes so far, named by one of its ``rid``. All texts are split by length and first
-    digit. Of nodes that hold several texts and go on, the bodies move once: a node of at most ``task_bytes`` is split to its end in
+    digit. Texts are shuffled once by ``rid`` to find those of nodes that hold several and go on, and these once more by node: a node of at most ``task_bytes`` is split to its end in
     one task. A larger one is dealt to several tasks, and one row of each text per task goes on to rounds over all tasks.
     """
     placed = _next_nodes(texts.select("rid", "size", F.lit(0).cast("long").alias("node"), _digit(F.col("body"), 0, FIRST_DIGIT)))
     ended = placed.where(F.col("size") <= FIRST_DIGIT).select("rid", "node")
-    split = _split_in_tasks(texts.select("rid", "body").join(placed.where(F.col("size") > FIRST_DIGIT), "rid"), task_bytes)
+    # Open rows grow with the data too, so here as well the plan is the one that large tables need: texts are shuffled once by their number.
+    open_rows = placed.where(F.col("size") > FIRST_DIGIT).hint("merge")
+    split = _split_in_tasks(texts.select("rid", "body").join(open_rows, "rid"), task_bytes)
     wide = split.where("body IS NOT NULL").select("rid", "size", "node", "body")
     if wide.isEmpty():
         return ended.union(split.where("copies > 1").select("rid", "rep"))
