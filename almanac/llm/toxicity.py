@@ -1,7 +1,11 @@
-"""Toxicity by a weighted finite-state grammar over the clauses of a text."""
+"""Toxicity by a weighted finite-state grammar over the clauses of a text.
+
+Five transducers, for insults, threats, negation, reported speech and targets, are composed into one.
+"""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -14,16 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.common import hashed_share, held_out, id_type, may_learn, python_tasks
+from almanac.llm.transducers import Transducer, compose, copying, numbered, weigh
 
 TRAIN_TOXIC, TRAIN_CLEAN = 2000, 4000
-MEMO_WORDS = 1 << 18
+#: Words that a task remembers, and the longest ones of these.
+MEMO_WORDS, MEMO_LENGTH = 1 << 18, 64
 THRESHOLD = 0.3
 
 CLAUSE = re.compile(r"[.!?;\n]+")
 EDGE = "\"'`´’‘“”„«»()[]{}<>,.:;!?-–—_*#$%&|~/\\"
 
-#: Symbols that the word transducers emit.
-INSULT, THREAT, SECOND, OTHER, DENIAL, REPORT, WILL = range(1, 8)
+#: Symbols of words, and two of the grammar: a hit that is weighed, and one that is passed over while another one is.
+INSULT, THREAT, SECOND, OTHER, DENIAL, REPORT, WILL, HIT, PASSED = SYMBOLS = range(1, 10)
 
 #: General words of the grammar; insults and threats beyond these are learned with their weights.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu toi te ton ta vous votre tú usted ti tus".split())
@@ -46,7 +52,7 @@ class Grammar(NamedTuple):
 
 
 def symbol(grammar: Grammar, token: str) -> tuple[int, float] | None:
-    """The word transducer: at most one symbol with its weight. Learned words win over general ones."""
+    """The word transducer, which has one state: at most one symbol with its weight. Learned words win over general ones."""
     word = token.strip(EDGE)
     weight = grammar.whole.get(word, 0.0)
     if not weight:
@@ -63,34 +69,69 @@ def symbol(grammar: Grammar, token: str) -> tuple[int, float] | None:
     return None
 
 
-def clause_score(symbols: list[tuple[int, float]]) -> float:
-    """The composed transducer over one clause, left to right.
+def insult() -> Transducer:
+    """A learned insult is a hit."""
+    return copying(0, SYMBOLS, [0], {(0, INSULT): (HIT, 1.0, 0)})
+
+
+def threat() -> Transducer:
+    """A threatening act is a hit: whole if announced, less if somebody was named before it, else little."""
+    none, named, announced = range(3)
+    arcs = {(s, WILL): (WILL, 1.0, announced) for s in range(3)}
+    arcs |= {(none, who): (who, 1.0, named) for who in (SECOND, OTHER)}
+    arcs |= {(s, THREAT): (HIT, share, s) for s, share in ((none, 0.1), (named, 0.4), (announced, 1.0))}
+    return copying(none, SYMBOLS, range(3), arcs)
+
+
+def negation() -> Transducer:
+    """A denial takes from the next hit; a second one before it takes the first back."""
+    plain, denied = range(2)
+    arcs = {(plain, DENIAL): (DENIAL, 1.0, denied), (denied, DENIAL): (DENIAL, 1.0, plain)}
+    return copying(plain, SYMBOLS, range(2), arcs | {(denied, HIT): (HIT, 0.4, plain), (denied, PASSED): (PASSED, 1.0, plain)})
+
+
+def reported_speech() -> Transducer:
+    """What is said to have been said counts half."""
+    own, quoted = range(2)
+    return copying(own, SYMBOLS, range(2), {(own, REPORT): (REPORT, 1.0, quoted), (quoted, HIT): (HIT, 0.5, quoted)})
+
 
-    State: target seen, denial in force, reported speech, announced act. An insult counts its weight,
-    more with a target, less when denied or reported. A threat counts in full only if an act is
-    announced or a target follows or precedes.
+def target() -> Transducer:
+    """Accepts clauses with one hit, which counts more for the strongest target before it and for the next one after it.
+
+    States are the strongest target so far, whether the hit was read, and what the target after it gave.
     """
-    total, target, denied, reported, announced, pending = 0.0, 0.0, False, False, False, 0.0
-    for kind, weight in symbols:
-        if kind == SECOND or kind == OTHER:
-            target = max(target, 0.5 if kind == SECOND else 0.2)
-            if pending:
-                total += pending * target
-                pending = 0.0
-        elif kind == DENIAL:
-            denied = not denied
-        elif kind == REPORT:
-            reported = True
-        elif kind == WILL:
-            announced = True
-        else:
-            if kind == THREAT:
-                weight *= 1.0 if announced else 0.4 if target else 0.1
-            weight *= (0.4 if denied else 1.0) * (0.5 if reported else 1.0)
-            total += weight * (1 + target)
-            pending += weight
-            denied = False
-    return total
+    aims = {SECOND: 0.5, OTHER: 0.2}
+    levels = (0.0, *sorted(aims.values()))
+    arcs: dict = {}
+    final: dict = {}
+    for best in levels:
+        arcs[best, False, 0.0] = {x: [(x, 1.0, (max(best, aims.get(x, 0.0)), False, 0.0))] for x in SYMBOLS}
+        arcs[best, False, 0.0][HIT] = [(HIT, 1.0, (best, True, 0.0))]
+        for after in levels:
+            there = best, True, after
+            arcs[there] = {x: [(x, 1.0, there)] for x in SYMBOLS if x != HIT}
+            if not after:
+                arcs[there] |= {x: [(x, 1.0, (best, True, max(best, aim)))] for x, aim in aims.items()}
+            final[there] = 1.0 + best + after
+    return Transducer((0.0, False, 0.0), arcs, final)
+
+
+@functools.cache
+def clauses() -> Transducer:
+    """The grammar of a clause: insults and threats become hits, which denials and reports lessen and targets raise."""
+    return numbered(functools.reduce(compose, [insult(), threat(), negation(), reported_speech(), target()]))
+
+
+def readings(found: tuple[int, float]) -> tuple[tuple[int, float], ...]:
+    """How the grammar may read a word: an insult or threat is the hit, with the word's weight, or another one is."""
+    kind, weight = found
+    return ((PASSED, 1.0), (kind, weight)) if kind <= THREAT else ((kind, 1.0),)
+
+
+def clause_score(symbols: list[tuple[tuple[int, float], ...]]) -> float:
+    """The weight of a clause given by the readings of its words: the sum over its hits."""
+    return weigh(clauses(), symbols)
 
 
 def features(grammar: Grammar, text: str, memo: dict) -> tuple[float, float, float, float]:
@@ -108,12 +149,15 @@ def features(grammar: Grammar, text: str, memo: dict) -> tuple[float, float, flo
             try:
                 s = memo[token]
             except KeyError:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                s = memo[token] = symbol(grammar, token)
+                found = symbol(grammar, token)
+                s = readings(found) if found else None
+                if len(token) <= MEMO_LENGTH:
+                    if len(memo) >= MEMO_WORDS:
+                        memo.clear()
+                    memo[token] = s
             if s:
                 symbols.append(s)
-                hit = hit or s[0] <= THREAT
+                hit = hit or len(s) > 1
         if hit:
             score = clause_score(symbols)
             best, total, n_matched = max(best, score), total + score, n_matched + 1

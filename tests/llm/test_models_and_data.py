@@ -1,5 +1,8 @@
 """Language, toxicity, mixing, packing, exact search and the pipeline against plain Python."""
 
+import itertools
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from almanac.llm import language, mixing, packing, topk, toxicity
+from almanac.llm import language, mixing, packing, topk, toxicity, transducers
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -138,6 +141,78 @@ def test_toxicity_grammar():
     assert score("you. a fool") == score("a fool")
 
 
+def clause_model(symbols):
+    """The sum over hits, by one pass with explicit flags."""
+    total, target, denied, reported, announced, pending = 0.0, 0.0, False, False, False, 0.0
+    for kind, weight in symbols:
+        if kind in (toxicity.SECOND, toxicity.OTHER):
+            target = max(target, 0.5 if kind == toxicity.SECOND else 0.2)
+            total, pending = total + pending * target, 0.0
+        elif kind == toxicity.DENIAL:
+            denied = not denied
+        elif kind == toxicity.REPORT:
+            reported = True
+        elif kind == toxicity.WILL:
+            announced = True
+        else:
+            if kind == toxicity.THREAT:
+                weight *= 1.0 if announced else 0.4 if target else 0.1
+            weight *= (0.4 if denied else 1.0) * (0.5 if reported else 1.0)
+            total, pending, denied = total + weight * (1 + target), pending + weight, False
+    return total
+
+
+def outputs(machine, symbols):
+    """All ``(output, weight, end)`` of an input, path by path."""
+    paths = [((), 1.0, machine.start)]
+    for x in symbols:
+        paths = [((*o, y), w * v, t) for o, w, s in paths for y, v, t in machine.arcs[s].get(x, ())]
+    return [(o, w, s) for o, w, s in paths if s in machine.final]
+
+
+def test_composition_is_one_machine_after_the_other():
+    parts = [toxicity.insult(), toxicity.threat(), toxicity.negation(), toxicity.reported_speech(), toxicity.target()]
+    for a, b in [*zip(parts, parts[1:], strict=False), (parts[1], transducers.compose(parts[2], parts[4]))]:
+        both = transducers.compose(a, b)
+        for symbols in itertools.product(toxicity.SYMBOLS, repeat=3):
+            want = [(o2, w1 * w2 * a.final[s] * b.final[t]) for o, w1, s in outputs(a, symbols) for o2, w2, t in outputs(b, o)]
+            got = [(o, w * both.final[s]) for o, w, s in outputs(both, symbols)]
+            assert sorted((o, round(w, 12)) for o, w in got) == sorted((o, round(w, 12)) for o, w in want)
+
+
+def test_clause_weights_are_sums_over_paths():
+    rng = random.Random(8)
+    for _ in range(2000):
+        words = [(rng.choice(list(toxicity.SYMBOLS)[:7]), rng.choice([0.5, 2.0, 3.25])) for _ in range(rng.choice([0, 1, 2, 5, 9]))]
+        assert toxicity.clause_score([toxicity.readings(w) for w in words]) == pytest.approx(clause_model(words), abs=1e-12)
+    grammar = toxicity.clauses()
+    words = [toxicity.readings(w) for w in [(toxicity.DENIAL, 0.0), (toxicity.INSULT, 2.0), (toxicity.SECOND, 0.0), (toxicity.THREAT, 3.0)]]
+    one_by_one = sum(
+        math.prod(w for _, w in choice) * sum(v * grammar.final[s] for _, v, s in outputs(grammar, [x for x, _ in choice]))
+        for choice in itertools.product(*words)
+    )
+    assert toxicity.clause_score(words) == pytest.approx(one_by_one)
+
+
+def test_toxicity_scores_against_a_slow_model(docs, labels):
+    grammar = toxicity.fit(docs, labels)
+    assert grammar.whole or grammar.begin
+    got = {r.doc_id: r.score for r in toxicity.score(docs, grammar).collect()}
+    some = 0
+    for r in docs.select("doc_id", "text").collect():
+        parts = [c.split() for c in toxicity.CLAUSE.split((r.text or "").lower())]
+        parts = [c for c in parts if c]
+        found = [[s for t in c if (s := toxicity.symbol(grammar, t))] for c in parts]
+        scores = [clause_model(c) for c in found if any(k <= toxicity.THREAT for k, _ in c)]
+        some += bool(scores)
+        total, n = sum(scores), sum(map(len, parts))
+        x = np.log1p([max(scores, default=0), total, 0, 100 * total / max(20, n)])
+        x[2] = len(scores) / max(1, len(parts))
+        z = ((x - grammar.mean) / grammar.scale) @ grammar.coef[:-1] + grammar.coef[-1]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+    assert some > 5
+
+
 def test_toxicity_odd_rows(odd, docs, labels, spark):
     grammar = toxicity.fit(docs, labels)
     got = toxicity.score(odd, grammar).collect()
