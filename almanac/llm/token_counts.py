@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 
 from almanac.llm.common import id_type, python_tasks
 
-MEMO_WORDS = 1 << 18
+#: Words that a worker remembers, and the bytes of the longest ones of these.
+MEMO_WORDS, MEMO_BYTES = 1 << 18, 64
 
 
 class LongestMatch:
@@ -107,7 +108,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     Words are runs of anything but ASCII white space. Null, empty and blank texts have 0 words and 0
     tokens. Null ids are kept. An empty table gives an empty result. Columns other than ``doc_id``
-    and ``text`` are not looked at. Each worker keeps the counts of at most ``MEMO_WORDS`` words.
+    and ``text`` are not looked at. Each worker keeps the counts of at most ``MEMO_WORDS`` words of at most ``MEMO_BYTES`` bytes.
     """
     python_tasks(docs.sparkSession)
 
@@ -121,9 +122,11 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                 for word in found:
                     n = memo.get(word)
                     if n is None:
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        n = memo[word] = count(b" " + word)
+                        n = count(b" " + word)
+                        if len(word) <= MEMO_BYTES:
+                            if len(memo) >= MEMO_WORDS:
+                                memo.clear()
+                            memo[word] = n
                     total += n
                 n_words.append(len(found))
                 n_tokens.append(total)
