@@ -19,11 +19,12 @@ from almanac.session import materialize
 SHINGLE = 5
 #: Links need 100 * shared >= PERCENT * all.
 PERCENT = 80
-#: Blocks of a sketch that are joined; sketches with more blocks leave the others out.
-BLOCKS = 128
+#: Blocks of a sketch that are joined; sketches with more blocks leave the others out, unless all are asked for.
+BLOCKS, ALL_BLOCKS = 128, 1 << 62
 #: The chance that a link shares too few of those blocks, for sketches with more.
 MISS = 1e-12
-MEMO_WORDS = 1 << 18
+#: Words that a task remembers, and the bytes of the longest ones of these.
+MEMO_WORDS, MEMO_BYTES = 1 << 18, 64
 
 #: Taken from the band in the second row of a document.
 SECOND = 1 << 20
@@ -56,7 +57,9 @@ def shingles(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
     for word in words:
         h = memo.get(word)
         if h is None:
-            h = memo[word] = xxhash.xxh3_64_intdigest(word)
+            h = xxhash.xxh3_64_intdigest(word)
+            if len(word) <= MEMO_BYTES:
+                memo[word] = h
         ids.append(h)
     h = np.array(ids, dtype=np.uint64)
     n = max(1, len(h) - SHINGLE + 1)
@@ -81,25 +84,25 @@ def blocks_of(band: int) -> int:
 
 
 @functools.lru_cache(maxsize=4096)
-def sure_blocks(n: int, blocks: int) -> int:
+def sure_blocks(n: int, blocks: int, most: int = BLOCKS) -> int:
     """How many of the joined blocks a linked pair shares at least.
 
-    Each element of the difference changes one block, so all but ``allowed(n)`` blocks are equal. Where only BLOCKS
+    Each element of the difference changes one block, so all but ``allowed(n)`` blocks are equal. Where only ``most``
     of them are joined, those are a random choice, and the number is one that is missed with a chance under MISS.
     """
     d = allowed(n)
-    if blocks <= BLOCKS:
+    if blocks <= most:
         return blocks - d
     p = (1 - 1 / blocks) ** d
     tail, k = 0.0, 0
     while True:
-        tail += math.comb(BLOCKS, k) * p**k * (1 - p) ** (BLOCKS - k)
+        tail += math.comb(most, k) * p**k * (1 - p) ** (most - k)
         if tail > MISS:
             return max(1, k)
         k += 1
 
 
-def sketch(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+def sketch(hashes: np.ndarray, band: int, most: int = BLOCKS) -> tuple[np.ndarray, int]:
     """Join keys of a set in a band, and how many of the rarest ones have to be kept.
 
     The top bits of a hash choose its block, and a block is the XOR of its elements: a wide parity sketch. The number of blocks in
@@ -108,8 +111,8 @@ def sketch(hashes: np.ndarray, band: int) -> tuple[np.ndarray, int]:
     blocks are last in that order and are only emitted if the others do not suffice; their keys are odd, the others even.
     """
     n, blocks = len(hashes), blocks_of(band)
-    joined = min(blocks, BLOCKS)
-    quota = joined - sure_blocks(n, blocks) + 1
+    joined = min(blocks, most)
+    quota = joined - sure_blocks(n, blocks, most) + 1
     block = (hashes >> np.uint64(64 - band)).astype(np.int64) if band else np.zeros(n, np.int64)
     inside = block < joined
     block, own = block[inside], _mixed(hashes[inside] ^ _STEP)
@@ -137,7 +140,7 @@ def bands(n: int) -> list[int]:
     return [band] + ([band - 1] if band and n * PERCENT <= 100 * ((1 << band) - 1) else [])
 
 
-def _sketched(docs: DataFrame) -> DataFrame:
+def _sketched(docs: DataFrame, most: int) -> DataFrame:
     """One row per row of ``docs`` and band: ``spot, n, fp, band, quota, keys``; ``keys`` is null for copies met before in the task.
 
     ``fp`` digests the set; sets with equal ``n`` and ``fp`` count as equal.
@@ -155,7 +158,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 copy = digest in met
                 met.add(digest)
                 for at, b in enumerate([-1] if copy or not len(hashes) else bands(len(hashes))):
-                    found, rarest = sketch(hashes, b) if b >= 0 else (None, 0)
+                    found, rarest = sketch(hashes, b, most) if b >= 0 else (None, 0)
                     row.append(i)
                     n.append(len(hashes))
                     fp.append(digest - (1 << 63))
@@ -299,9 +302,9 @@ def _grouped(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     return found if last.isEmpty() else components(links.unionByName(last))
 
 
-def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, exact: bool) -> tuple[DataFrame, DataFrame]:
     """Rows ``doc_id, mark, n, fp`` of ``docs``, and for each set with words ``n, fp, s``, the first row of its component."""
-    sketched = materialize(_sketched(docs), "sketches")
+    sketched = materialize(_sketched(docs, ALL_BLOCKS if exact else BLOCKS), "sketches")
     rows = sketched.where(F.col("band") >= -1).select("doc_id", "mark", "n", "fp")
     sketched = sketched.withColumn("band", F.when(F.col("band") < -1, F.col("band") + SECOND).otherwise(F.col("band")))
     buckets = materialize(_buckets(sketched), "buckets")
@@ -316,26 +319,28 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, named.select("n", "fp", "component").join(least, "component").select("n", "fp", "s")
 
 
-def join_similar(docs: DataFrame) -> DataFrame:
+def join_similar(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``.
 
     A set is the distinct 5-word shingles of a whole text. Rows link when 100 * shared >= 80 * all; ``component_id`` is the smallest id
     that links lead to, the row's own included. Texts that are null, empty or blank have an empty set and link with nothing. Equal sets
     link, and are one set throughout: copies are never paired. Repeated rows get a row each. Null ids are kept and are larger than all
     others; a component of null ids only has a null id. An empty table gives no rows; other columns are not looked at.
+
+    ``exact`` joins all blocks of sets with 256 and more shingles too: up to a key per shingle, where else 128 keys miss a link with a chance under ``MISS``.
     """
-    rows, named = _components(docs)
+    rows, named = _components(docs, exact)
     lone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     joined = rows.where("n > 0").join(named, ["n", "fp"])
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.col("s.doc_id").alias("component_id")).unionByName(lone)
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def one_per_group(docs: DataFrame, exact: bool = False) -> DataFrame:
     """The rows and columns of ``docs`` with one row of each component, the one with the smallest id.
 
-    Texts without words are groups of their own. Rows that are equal in id and text count as one.
+    Texts without words are groups of their own. Rows that are equal in id and text count as one. ``exact`` is that of ``join_similar``.
     """
-    rows, named = _components(docs)
+    rows, named = _components(docs, exact)
     keep = named.select("s.doc_id", "s.mark").distinct().unionByName(rows.where("n = 0").select("doc_id", "mark").distinct())
     keep = keep.select(F.xxhash64("doc_id", "mark").alias("k1"), F.xxhash64("mark", "doc_id").alias("k2"))
     mark = F.xxhash64("text")

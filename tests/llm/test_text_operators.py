@@ -269,9 +269,9 @@ def jaccard_model(rows):
     return sorted(((rows[i][0], len(s), None if least[top(i)][0] else least[top(i)][1]) for i, s in enumerate(sets)), key=repr)
 
 
-def check_jaccard(df):
+def check_jaccard(df, **how):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_similar(df).collect()]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_similar(df, **how).collect()]
     assert sorted(got, key=repr) == jaccard_model(rows)
     return got
 
@@ -324,6 +324,28 @@ def test_jaccard_near_the_threshold(spark):
     check_jaccard(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4))
 
 
+def test_jaccard_join_of_large_sets_by_all_blocks(spark):
+    """Sets of over 256 shingles, a little above and below the threshold; no block is left to chance."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for n in (260, 300, 520, 1100):
+        words = [f"b{n}x{i}" for i in range(n)]
+        rows.append(" ".join(words))
+        for edits in (0.017, 0.02, 0.022, 0.024, 0.03):
+            new = list(words)
+            for k in rng.sample(range(0, n, 6), int(edits * n)):
+                new[k] = f"e{rng.randrange(10**9)}"
+            rows.append(" ".join(new))
+    got = check_jaccard(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4), exact=True)
+    assert 4 < len({c for _, _, c in got}) < len(got)
+    words = [f"a{i}" for i in range(3000)]
+    one, other = (jaccard.shingles(" ".join(w), {}) for w in (words, words[:2700]))
+    keys = [set(jaccard.sketch(x, 11, jaccard.ALL_BLOCKS)[0].tolist()) for x in (one, other)]
+    assert len(keys[0]) > 1024 and len(keys[0] & keys[1]) >= jaccard.sure_blocks(len(other), 2048, jaccard.ALL_BLOCKS) - 2048 + len(keys[0])
+
+
 def test_sketches_bound_the_difference():
     """The number of blocks that differ is at most the symmetric difference."""
     memo = {}
