@@ -28,8 +28,10 @@ MEMO_WORDS, MEMO_BYTES = 1 << 18, 64
 
 #: Taken from the band in the second row of a document.
 SECOND = 1 << 20
-#: Bits of the parity sketches that pairs are compared by inside a join.
-PARITY_BITS = 2048
+#: Bits of the parity sketches that pairs are compared by inside a join, and of the same sketches folded for the first look.
+PARITY_BITS, FOLDED_BITS = 2048, 512
+#: In buckets of more sets than this, elements that only one set has are counted before sets are compared.
+CROWDED = 64
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _STEP = np.uint64(0x94D049BB133111EB)
@@ -129,9 +131,13 @@ def sketch(hashes: np.ndarray, band: int, most: int = BLOCKS) -> tuple[np.ndarra
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """PARITY_BITS bits as longs: each element flips one, so two sketches differ in at most the symmetric difference."""
+    """PARITY_BITS bits as longs: each element flips one, so two sketches differ in at most the symmetric difference.
+
+    The longs of the folded sketch, for which the same holds, come first.
+    """
     bits = np.bincount((hashes >> np.uint64(3)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    folded = bits.reshape(-1, FOLDED_BITS).sum(axis=0) & 1
+    return np.packbits(np.concatenate([folded, bits]).astype(np.uint8)).view(np.int64)
 
 
 def bands(n: int) -> list[int]:
@@ -182,11 +188,18 @@ def _sized(n: Column, m: Column) -> Column:
 
 
 def _near(bits: str, others: str, n: Column, m: Column) -> Column:
-    """Whether the parity sketches of sets of ``n`` and ``m`` elements differ in no more bits than a linked pair may."""
-    differ = F.lit(0)
-    for i in range(PARITY_BITS // 64):
-        differ = differ + F.bit_count(F.get(F.col(bits), F.lit(i)).bitwiseXOR(F.get(F.col(others), F.lit(i))))
-    return differ * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
+    """Whether the parity sketches of sets of ``n`` and ``m`` elements differ in no more bits than a linked pair may.
+
+    The folded sketches are compared first, in few enough instructions for the join's loop to be compiled to machine code; most pairs
+    end there. The whole ones are compared by a loop of their own.
+    """
+    most = (n + m) * (100 - PERCENT)
+    few = F.lit(0)
+    for i in range(FOLDED_BITS // 64):
+        few = few + F.bit_count(F.get(F.col(bits), F.lit(i)).bitwiseXOR(F.get(F.col(others), F.lit(i))))
+    each = F.zip_with(bits, others, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    whole = F.aggregate(F.slice(each, FOLDED_BITS // 64 + 1, PARITY_BITS // 64), F.lit(0), lambda total, x: total + x)
+    return (few * (100 + PERCENT) <= most) & (whole * (100 + PERCENT) <= most)
 
 
 def _buckets(sketched: DataFrame) -> DataFrame:
@@ -256,6 +269,35 @@ def _labelled(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
     return materialize(rows.join(mixed, "key").join(bits, "x"), "labels")
 
 
+def _with_own(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with ``own``, less those of crowded buckets that cannot be linked with another of their bucket.
+
+    ``own`` is, in a bucket of over CROWDED sets, the number of a set's elements that no other set of such buckets has: all of them
+    are in the difference to any partner there, as are the partner's. Where that of the set and the least of the bucket are
+    more than a linked pair may differ, the set has no partner in it. In other buckets ``own`` is 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                fps = batch.column(0)[at : at + 64].to_numpy(zero_copy_only=False)
+                sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)[at : at + 64]]
+                owner = pa.array(np.repeat(fps, [len(x) for x in sets]))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(np.concatenate(sets))], names=["fp", "element"])
+
+    many = rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWDED).select("key", F.lit(True).alias("crowded"))
+    crowded = rows.join(many, "key").select("x.n", "x.fp").distinct()
+    elements = sets.join(crowded, ["n", "fp"]).select("fp", "hashes").mapInArrow(run, "fp long, element long")
+    single = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("fp").alias("fp")).where("c = 1")
+    own = single.groupBy("fp").agg(F.count("*").alias("own"))
+    counted = rows.join(many, "key", "left").join(own.withColumnRenamed("fp", "own_fp"), F.col("x.fp") == F.col("own_fp"), "left")
+    counted = counted.withColumn("own", F.when(F.col("crowded"), F.coalesce("own", F.lit(0))).otherwise(0)).drop("own_fp", "crowded")
+    counted = materialize(counted, "labels")
+    least = counted.groupBy("key").agg(F.min("own").alias("least"))
+    fits = (F.col("own") + F.col("least")) * PERCENT <= F.col("x.n") * (100 - PERCENT)
+    return counted.join(least, "key").where(fits).drop("least")
+
+
 def _grouped(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     """``node, component`` of all sets that are linked, found without pairing all of a bucket's sets.
 
@@ -283,8 +325,9 @@ def _grouped(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     def compared(left: DataFrame, right: DataFrame, more: Column | None = None) -> DataFrame:
         """New pairs of a bucket that may be linked and are not yet connected."""
         apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & _sized(F.col("l.x.n"), F.col("r.x.n"))
+        apart = apart if more is None else apart & more
         apart = apart & _near("l.bits", "r.bits", F.col("l.x.n"), F.col("r.x.n"))
-        met = left.alias("l").join(right.alias("r"), apart if more is None else apart & more)
+        met = left.alias("l").join(right.alias("r"), apart)
         new = met.select(F.least("l.x", "r.x").alias("a"), F.greatest("l.x", "r.x").alias("b")).distinct()
         return materialize(new.join(tested, ["a", "b"], "left_anti"), "pairs")
 
@@ -296,8 +339,9 @@ def _grouped(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     rows = _labelled(members, found.select(F.col("node").alias("x"), F.col("component").alias("label")), sets)
     # Of two sets with different labels one does not have the bucket's most frequent label: only those meet all others.
     often = rows.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"))
-    rows = rows.join(often, "key").withColumn("main", F.col("label") == F.col("most.label")).drop("most")
-    pairs = compared(rows.where(~F.col("main")), rows, F.col("r.main") | (F.col("l.x") < F.col("r.x")))
+    rows = _with_own(rows.join(often, "key").withColumn("main", F.col("label") == F.col("most.label")).drop("most"), sets)
+    apart = (F.col("l.own") + F.col("r.own")) * (100 + PERCENT) <= (F.col("l.x.n") + F.col("r.x.n")) * (100 - PERCENT)
+    pairs = compared(rows.where(~F.col("main")), rows, apart & (F.col("r.main") | (F.col("l.x") < F.col("r.x"))))
     last = materialize(_linked(pairs, sets), "links")
     return found if last.isEmpty() else components(links.unionByName(last))
 

@@ -294,10 +294,27 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard.join_similar(empty).collect() == []
 
 
-def test_jaccard_near_the_threshold(spark):
+def test_jaccard_templates_just_below_the_threshold(spark):
+    """Texts that share 60 of 70 words do not link and fill the same buckets; a few among them have near copies that do."""
+    import random
+
+    rng = random.Random(6)
+    base = [f"c{i}" for i in range(60)]
+    rows = [base + [f"w{i}x{k}" for k in range(10)] for i in range(700)]
+    for i in range(0, 700, 50):
+        rows += [rows[i][:-2] + [f"v{i}", f"y{i}"], rows[i][:63] + [f"z{i}x{k}" for k in range(7)]]
+    rows += [base + [f"s{rng.randrange(12)}" for _ in range(10)] for _ in range(90)]  # own words that others have too
+    rng.shuffle(rows)
+    got = check_jaccard(spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(4))
+    assert 600 < len({c for _, _, c in got}) < len(rows) - 20
+
+
+@pytest.mark.parametrize("crowded", [64, 1])
+def test_jaccard_near_the_threshold(spark, monkeypatch, crowded):
     """Chains of small edits, one group of many near copies, and a passage shared by unlinked texts."""
     import random
 
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)
     rng = random.Random(3)
     rows = []
 
