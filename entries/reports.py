@@ -288,17 +288,41 @@ _AS_OF = "TIMESTAMP '2024-01-16 09:30:00'"
 _DUE = f"FROM {_TASKS} WHERE next_run < {_AS_OF} AND (ends IS NULL OR {_AS_OF} < ends)"
 
 
+def _word_lists(table: str, key: str, text: str = "text") -> str:
+    return rf"""
+        SELECT {key} AS id, list_sort(list_distinct([x FOR x IN
+               string_split_regex(regexp_replace(lower({text}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+') IF x <> ''])) AS w
+        FROM {table}"""
+
+
 def _words(table: str, key: str) -> str:
     return rf"""
-        words AS (SELECT {key} AS id, list_sort(list_distinct([x FOR x IN
-                      string_split_regex(regexp_replace(lower(text), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+') IF x <> ''])) AS w
-                  FROM {table}),
+        words AS ({_word_lists(table, key)}),
         members AS (SELECT id AS item, min(id) OVER (PARTITION BY array_to_string(w, ' ')) AS set_id FROM words),
         tokens AS (SELECT id, unnest(w) AS t FROM words WHERE id IN (SELECT set_id FROM members)),
         pairs AS (SELECT x.id AS a, y.id AS b, count(*) AS overlap FROM tokens x JOIN tokens y ON x.t = y.t AND x.id < y.id
                   GROUP BY 1, 2)"""
 
 
+def _tier(n: int) -> str:
+    """From ``nodes_n`` (item, node, its words): the items merged in tier n, and the nodes that it leaves."""
+    return f"""
+        sets_{n} AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS words, min(node) AS s, count(DISTINCT node) AS c
+                     FROM nodes_{n} GROUP BY 1),
+        pairs_{n} AS (SELECT x.s AS a, y.s AS b, CAST(len(list_intersect(x.words, y.words)) AS BIGINT) AS overlap
+                      FROM sets_{n} x JOIN sets_{n} y ON x.s < y.s
+                      UNION ALL SELECT s, s, CAST(len(words) AS BIGINT) FROM sets_{n} WHERE c > 1),
+        best_{n} AS (SELECT max(overlap) AS best FROM pairs_{n}),
+        edges_{n} AS (SELECT a, b FROM pairs_{n} JOIN best_{n} ON overlap = best UNION SELECT b, a FROM pairs_{n} JOIN best_{n} ON overlap = best),
+        reach_{n} AS (SELECT a AS s, a AS t FROM edges_{n} UNION SELECT s, b FROM reach_{n} JOIN edges_{n} ON t = a),
+        groups_{n} AS (SELECT s, min(t) AS g FROM reach_{n} GROUP BY 1),
+        unions_{n} AS (SELECT g, list_sort(list_distinct(flatten(list(words)))) AS words FROM sets_{n} JOIN groups_{n} USING (s) GROUP BY 1),
+        merged_{n} AS (SELECT item, g AS node, best AS overlap
+                       FROM nodes_{n} JOIN sets_{n} ON array_to_string(w, ' ') = k JOIN groups_{n} USING (s) CROSS JOIN best_{n}),
+        nodes_{n + 1} AS (SELECT item, coalesce(m.node, o.node) AS node, coalesce(words, w) AS w
+                          FROM nodes_{n} o LEFT JOIN merged_{n} m USING (item) LEFT JOIN unions_{n} ON g = m.node)"""
+
+
 SQL = {
     "sql_select": "SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_size > 20 GROUP BY p_brand, p_size",
     "sql_template": """
@@ -354,6 +378,10 @@ SQL = {
         edges AS (SELECT a, b, overlap FROM best UNION SELECT b, a, overlap FROM best),
         reach AS (SELECT a AS s, a AS t FROM edges UNION SELECT s, b FROM reach JOIN edges ON t = a)
         SELECT min(t) AS "group", s AS set_id, (SELECT max(overlap) FROM edges) AS overlap FROM reach GROUP BY s""",
+    "hierarchical_clusters": f"""
+        WITH RECURSIVE nodes_1 AS (SELECT id AS item, id AS node, w FROM ({_word_lists('part', 'p_partkey', 'p_name')})), {_tier(1)}, {_tier(2)}
+        SELECT CAST(1 AS BIGINT) AS tier, overlap, node, item FROM merged_1
+        UNION ALL SELECT CAST(2 AS BIGINT), overlap, node, item FROM merged_2""",
     "filter_stream": "SELECT * FROM conversations WHERE regexp_matches(text, '(?i)zu') OR role LIKE 'sys%'",
     "run_report": """
         SELECT n_orders, top_price, c_custkey, c_nationkey, c_mktsegment, n_name, n_regionkey
